@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symbolith.sources.tables import table
+from symbolith.sources.tables import materialise, small_enough, table
 
 #: Hot repos are spread over this many join keys when their states meet their snapshot numbers.
 SALTS = 16
@@ -22,8 +22,9 @@ def plain_path(path: Column) -> Column:
 
 
 def plain_digest(digest: Column) -> Column:
-    """The digest's hexadecimal digits in lower case, without the name of the algorithm before them."""
-    return F.lower(F.regexp_replace(F.trim(digest), r"^(?i)sha-?256[:=\-]", ""))
+    """The digest's bytes, without the name of the algorithm before them; what isn't hexadecimal counts as written."""
+    bare = F.regexp_replace(F.trim(digest), r"^(?i)sha-?256[:=\-]", "")
+    return F.coalesce(F.unhex(bare), F.encode(F.lower(bare), "UTF-8"))
 
 
 def file_states(snapshots: DataFrame) -> DataFrame:
@@ -64,12 +65,17 @@ def validity_intervals(states: DataFrame, numbers: DataFrame) -> DataFrame:
     choice of the last delivery, the islands and their neighbours.
     """
     key = ["record_type", "repo", "record_key"]
-    salted = numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = states.withColumn("_salt", F.pmod(F.xxhash64("record_key"), F.lit(SALTS)).cast("int")).join(salted, ["repo", "snapshot_no", "_salt"])
+    numbers = materialise(numbers, "numbers")
+    small = small_enough(numbers)
+    if small is not None:
+        placed = states.join(small, ["repo", "snapshot_no"])
+    else:
+        salted = numbers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = states.withColumn("_salt", F.pmod(F.xxhash64("record_key"), F.lit(SALTS)).cast("int")).join(salted, ["repo", "snapshot_no", "_salt"])
     once = (
         placed.repartition(*key)
         .groupBy(*key, "ordinal", "snapshot_no", "next_no")
-        .agg(F.max_by(F.coalesce("digest", F.lit("")), F.struct("delivered_at", "digest")).alias("digest"))
+        .agg(F.max_by(F.coalesce("digest", F.lit(b"")), F.struct("delivered_at", "digest")).alias("digest"))
     )
     w = Window.partitionBy(*key).orderBy("ordinal")
     starts = once.withColumn("_begins", F.coalesce((F.lag("ordinal").over(w) != F.col("ordinal") - 1) | (F.lag("digest").over(w) != F.col("digest")), F.lit(True)))
@@ -113,4 +119,4 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_intervals(spark: SparkSession, folder: str) -> DataFrame:
     intervals = snapshot_intervals(table(spark, folder, "index_snapshots"), table(spark, folder, "symbol_snapshots"))
-    return intervals.select("repo", "record_type", "record_key", "digest", "valid_from", "valid_to")
+    return intervals.select("repo", "record_type", "record_key", F.lower(F.hex("digest")).alias("digest"), "valid_from", "valid_to")

@@ -59,3 +59,8 @@ def current_symbols(spark: SparkSession, folder: str, columns: list[str]) -> Dat
     """The row of each (repo, id) of ``code_symbols`` that was seen last, with ``columns`` besides the key."""
     need = list(dict.fromkeys(["repo", "id", *columns, "seen_at", "symbol_seq"]))
     return latest(table(spark, folder, "code_symbols").select(*need), ["repo", "id"], ["seen_at", "symbol_seq"]).select(*dict.fromkeys(["repo", "id", *columns]))
+
+
+def small_enough(df: DataFrame, rows: int = 200_000) -> DataFrame | None:
+    """``df`` marked for broadcast if it, a table already written, has at most ``rows`` rows; else None."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
