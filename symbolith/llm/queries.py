@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from symbolith.llm import validity
+from symbolith.llm import pairs, validity
 
 QUERIES = {
+    "p1_found": pairs.p1_found,
+    "p1_pairs": pairs.p1_pairs,
     "p4_found": validity.p4_found,
     "p4_errors": validity.p4_errors,
     "p4_rates": validity.p4_rates,

@@ -9,12 +9,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symbolith.llm import syntax
 from symbolith.llm.syntax.core import line_at, line_of
 from symbolith.sources.tables import table
 
-ERRORS = "array<struct<line:int,offset:int,message:string>>"
+ERRORS = T.ArrayType(
+    T.StructType([T.StructField("line", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("message", T.StringType())])
+)
 
 
 def extension_of(path: Column) -> Column:
