@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; their Python workers import the helpers of the operators."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="symbolith-code-")) / "symbolith.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, os.path.join(package.name, path.relative_to(package)))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of the data folder ``folder``."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
