@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symbolith.llm import pairs, validity
+from symbolith.llm import encoding, pairs, validity
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -10,5 +10,7 @@ QUERIES = {
     "p4_found": validity.p4_found,
     "p4_errors": validity.p4_errors,
     "p4_rates": validity.p4_rates,
+    "p9_found": encoding.p9_found,
+    "p9_restored": encoding.p9_restored,
 }
 ORACLES: dict[str, str] = {}
