@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from symbolith.llm import encoding, pairs, validity
+from symbolith.llm import answers, encoding, pairs, validity
 
 QUERIES = {
     "p1_found": pairs.p1_found,
     "p1_pairs": pairs.p1_pairs,
+    "p2_found": answers.p2_found,
+    "p2_templates": answers.p2_templates,
     "p4_found": validity.p4_found,
     "p4_errors": validity.p4_errors,
     "p4_rates": validity.p4_rates,
