@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symbolith.llm import answers, encoding, pairs, validity
+from symbolith.llm import answers, encoding, pairs, provenance, validity
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p4_found": validity.p4_found,
     "p4_errors": validity.p4_errors,
     "p4_rates": validity.p4_rates,
+    "p5_found": provenance.p5_found,
+    "p5_origins": provenance.p5_origins,
     "p9_found": encoding.p9_found,
     "p9_restored": encoding.p9_restored,
 }
