@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from symbolith.llm import answers, encoding, pairs, provenance, validity
+from symbolith.llm import answers, encoding, mixing, packing, pairs, provenance, validity
 
 QUERIES = {
     "p1_found": pairs.p1_found,
@@ -14,6 +14,11 @@ QUERIES = {
     "p4_rates": validity.p4_rates,
     "p5_found": provenance.p5_found,
     "p5_origins": provenance.p5_origins,
+    "p7_packed": packing.p7_packed,
+    "p7_each_window": packing.p7_each_window,
+    "p7_fill": packing.p7_fill,
+    "p8_drawn": mixing.p8_drawn,
+    "p8_shares": mixing.p8_shares,
     "p9_found": encoding.p9_found,
     "p9_restored": encoding.p9_restored,
 }
