@@ -9,18 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symbolith.functions.text import plain_path
 from symbolith.sources.tables import materialise, small_enough, table
 
 #: Hot repos are spread over this many join keys when their states meet their snapshot numbers.
 SALTS = 16
 
 
-def plain_path(path: Column) -> Column:
-    """Relative path with ``/`` between parts, no ``./``, no doubled or leading slashes."""
-    slashed = F.regexp_replace(F.trim(path), r"\\", "/")
-    return F.regexp_replace(F.regexp_replace(slashed, r"/(\./|/)*", "/"), r"^(\./+|/)+", "")
-
-
 def plain_digest(digest: Column) -> Column:
     """The digest's bytes, without the name of the algorithm before them; what isn't hexadecimal counts as written."""
     bare = F.regexp_replace(F.trim(digest), r"^(?i)sha-?256[:=\-]", "")

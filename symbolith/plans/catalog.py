@@ -4,20 +4,313 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from symbolith.operators import hierarchy, snapshots
+from symbolith.functions import security, text
+from symbolith.operators import hierarchy, index, outline, parse, retrieve, search, snapshots
 from symbolith.plans.oracles import ORACLES
+from symbolith.sources.tables import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Parameters of the queries; the SQL has the same ones.
+IGNORE = ["modules/", "*.jsx", "!core/*.jsx", "/api/**/chunk*"]
+MAX_BYTES = 4096
+PER_REPO = 50
+SESSION = "10 minutes"
+
+
+def files(s: SparkSession, d: str) -> DataFrame:
+    return index.files(s, d)
+
+
+def language_of_file(s, d):
+    return files(s, d).select("repo", "path", text.extension(F.col("path")).alias("extension"), "language")
+
+
+def exclude_reason(s, d):
+    reason = security.exclude_reason(F.col("path"), F.col("is_symlink"), F.col("size_bytes"), F.col("content"), MAX_BYTES)
+    return files(s, d).select("repo", "path", reason.alias("reason"))
+
+
+def skipped(s, d):
+    reason = security.skip_reason(F.col("path"), F.col("is_symlink"), F.col("size_bytes"), F.col("content"), IGNORE, MAX_BYTES)
+    return files(s, d).withColumn("reason", reason)
+
+
+def skip_counts(s, d):
+    reasons = s.createDataFrame([(r,) for r in security.SKIP_REASONS], "reason string")
+    counts = skipped(s, d).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return reasons.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).cast("long").alias("files"))
+
+
+def discover_priority_cap(s, d):
+    found = skipped(s, d).where("reason IS NULL").withColumn("priority", security.priority(F.col("path")))
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("priority"), "path"))
+    return found.withColumn("place", rank.cast("long")).where(F.col("place") <= PER_REPO).select("repo", "path", "priority", "place")
+
+
+def binary_content(s, d):
+    found = files(s, d).select(security.binary_content(F.encode("content", "UTF-8")).alias("binary"))
+    return found.groupBy("binary").agg(F.count(F.lit(1)).alias("files"))
+
+
+def new_hashes(s, d):
+    return files(s, d).where("content IS NOT NULL").select("repo", "path", F.col("content_hash").alias("digest"))
+
+
+def detect_changes(s, d):
+    return index.detect_changes(index.stored_hashes(s, d, newest=False), new_hashes(s, d))
+
+
+def files_to_process(s, d):
+    return index.files_to_process(files(s, d), detect_changes(s, d)).select("repo", "path", "size_bytes")
+
+
+def merge_symbols(s, d):
+    rows = index.symbols(s, d, ["file", "seen_at"])
+    rows = rows.select("repo", "file", "id")
+    return index.merge_symbols(rows, rows, detect_changes(s, d)).distinct()
+
+
+def merge_file_hashes(s, d):
+    return index.merge_hashes(index.stored_hashes(s, d, newest=False), new_hashes(s, d))
+
+
+def disambiguate_overloads(s, d):
+    rows = index.symbols(s, d, ["file", "qualified_name", "kind"])
+    return index.disambiguated(rows).select("repo", "id", "base_id", "own_id", F.col("n_same").cast("long").alias("n_same"))
+
+
+def line_offsets(s, d):
+    return index.line_offsets(index.lines(files(s, d))).select("repo", "path", F.col("line").cast("long").alias("line"), "byte_offset", F.octet_length("text").cast("long").alias("bytes"))
+
+
+def ranged(s, d):
+    columns = ["file", "byte_offset", "byte_length", "content_hash"]
+    return retrieve.with_source(index.symbols(s, d, columns).where("byte_offset >= 0 AND byte_length >= 0"), files(s, d).where("content IS NOT NULL"))
+
+
+def symbol_source_bytes(s, d):
+    return ranged(s, d).select("repo", "id", "source_hash")
+
+
+def verify_hash(s, d):
+    return ranged(s, d).groupBy("repo", "content_verified").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+SEARCHED = ["file", "name", "qualified_name", "kind", "signature", "summary", "docstring", "language", "keywords"]
+
+
+def symbol_search(query: str, **options) -> Query:
+    def run(s, d):
+        found = search.search_symbols(index.symbols(s, d, SEARCHED), query, **options)
+        return found.select("repo", "id", "name", "kind", F.col("score").cast("long").alias("score"))
+
+    return run
+
+
+def search_text(s, d):
+    return search.search_text(files(s, d), "retention LIMIT").select("repo", "path", F.col("line").cast("long").alias("line"), "text")
+
+
+def search_text_glob(s, d):
+    return search.search_text(files(s, d), "return", "core/*.go", 200).select("repo", "path", F.col("line").cast("long").alias("line"), "text")
+
+
+def search_text_all(s, d):
+    found = search.matching_lines(files(s, d), "todo")
+    return found.select("repo", "path", F.col("line").cast("long").alias("line"), "text")
+
+
+def search_text_grouped(s, d):
+    grouped = search.grouped_matches(search.matching_lines(files(s, d), "fixme"))
+    return grouped.select("repo", "path", F.size("matches").cast("long").alias("matches"), F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"))
+
+
+def files_searched(s, d):
+    """How many files a search that stops at its limit has opened: those up to the last match."""
+    current = files(s, d)
+    last = search.search_text(current, "retention LIMIT").agg(F.max("file_seq").alias("last"), F.count(F.lit(1)).alias("n"))
+    opened = F.coalesce(F.col("n") < 100, F.lit(True)) | (F.col("file_seq") <= F.col("last"))
+    return current.select("file_seq").join(F.broadcast(last)).agg(F.count_if(opened).alias("files_searched"), F.max(F.col("n") >= 100).alias("truncated"))
+
+
+def requests(s, d):
+    rows = index.symbols(s, d, ["parent"]).where("parent IS NOT NULL")
+    return rows.select("repo", F.col("symbol_seq").alias("pos"), F.col("parent").alias("symbol_id"))
+
+
+def get_symbols_batch(s, d):
+    found = retrieve.lookup(index.symbols(s, d, ["name", "kind"]).drop("symbol_seq"), requests(s, d))
+    return found.where("id IS NOT NULL").select("repo", "pos", "symbol_id", "name", "kind")
+
+
+def get_symbols_errors(s, d):
+    return retrieve.lookup(index.symbols(s, d, ["name"]).drop("symbol_seq"), requests(s, d)).where("id IS NULL").select("repo", "pos", "symbol_id")
+
+
+def get_symbol_context(s, d):
+    rows = index.symbols(s, d, ["file", "line", "end_line"])
+    return retrieve.with_context(rows, files(s, d).where("content IS NOT NULL"), 2).select("repo", "id", "context_before", "context_after")
+
+
+def file_tree(s, d):
+    return outline.file_tree(files(s, d), index.symbols(s, d, ["file"]))
+
+
+def file_tree_prefix(s, d):
+    return outline.file_tree(files(s, d), index.symbols(s, d, ["file"]), "src").select("repo", "path", "type", "depth")
+
+
+def file_outline(s, d):
+    """The symbols of every file as a forest: parents of the same file only."""
+    rows = materialise(index.symbols(s, d, ["file", "parent", "name"]), "outline").where("file IS NOT NULL")
+    placed = hierarchy.hierarchy(rows, ["repo", "file"], "id", "parent")
+    return placed.where("depth IS NOT NULL").select("repo", "file", "id", "root", "depth")
+
+
+def repo_languages(s, d):
+    return index.symbols(s, d, ["language"]).groupBy("repo", F.lower("language").alias("language")).agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def repo_kinds(s, d):
+    return index.symbols(s, d, ["kind"]).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def repo_top_dirs(s, d):
+    return outline.top_folders(files(s, d))
+
+
+def file_languages(s, d):
+    """Symbols per file and the language its last symbol has."""
+    rows = index.symbols(s, d, ["file", "language"])
+    return rows.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("symbols"), F.max_by("language", F.struct("symbol_seq", "id")).alias("language"))
+
+
+def list_repos(s, d):
+    return outline.catalog(table(s, d, "repos"), files(s, d), index.symbols(s, d, []))
+
+
+def resolve_short_name(s, d):
+    return outline.short_names(table(s, d, "repos"))
+
+
+def docstring_summary(s, d):
+    return index.symbols(s, d, ["docstring"]).select("repo", "id", text.docstring_summary(F.col("docstring")).alias("summary"))
+
+
+def signature_summary(s, d):
+    rows = index.symbols(s, d, ["kind", "name", "signature"])
+    return rows.select("repo", "id", text.signature_summary(F.col("kind"), F.col("name"), F.col("signature")).alias("summary"))
+
+
+def summary_tiers(s, d):
+    rows = index.symbols(s, d, ["summary", "docstring", "kind", "name", "signature"])
+    given, told = F.when(F.trim("summary") != "", F.col("summary")), text.docstring_summary(F.col("docstring"))
+    tier = F.when(given.isNotNull(), "given").when(told.isNotNull(), "docstring").otherwise("signature")
+    return rows.select("repo", "id", tier.alias("tier"), F.coalesce(given, told, text.signature_summary(F.col("kind"), F.col("name"), F.col("signature"))).alias("summary"))
+
+
+def summary_prompts(s, d):
+    """The prompts for the symbols of a file in batches of twenty."""
+    rows = index.symbols(s, d, ["file", "kind", "signature"])
+    at = F.row_number().over(Window.partitionBy("repo", "file").orderBy("symbol_seq", "id")) - 1
+    numbered = rows.withColumn("at", at).withColumn("batch", F.floor(F.col("at") / 20).cast("long")).withColumn("number", F.pmod("at", F.lit(20)) + 1)
+    line = text.prompt_line(F.col("number"), F.col("kind"), F.col("signature"))
+    made = numbered.select("repo", "file", "batch", "number", line.alias("line")).groupBy("repo", "file", "batch").agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
+    return made.select("repo", "file", "batch", F.array_join(F.transform("x", lambda v: F.coalesce(v["line"], F.lit(""))), "\n").alias("prompt"))
+
+
+def parse_numbered_response(s, d):
+    rows = table(s, d, "documents").select("doc_id", text.numbered_answers(F.regexp_replace("text", "\n- ", "\n12. ")).alias("answers"))
+    return rows.select("doc_id", F.posexplode("answers").alias("pos", "answer")).select("doc_id", (F.col("pos") + 1).cast("long").alias("n"), "answer")
+
+
+def tokens_saved(s, d):
+    """What a look at one symbol saves against reading its file."""
+    sizes = files(s, d).select("repo", F.col("path").alias("file"), "size_bytes")
+    rows = index.symbols(s, d, ["file", "byte_length"]).join(sizes, ["repo", "file"])
+    return rows.groupBy("repo", "file").agg(F.sum(text.tokens_saved(F.col("size_bytes"), F.col("byte_length"))).alias("tokens_saved"))
+
+
+def savings_running_total(s, d):
+    """The ledger of positive savings by user, in order of time."""
+    saved = F.floor(F.col("value") * 4).cast("long")
+    rows = table(s, d, "events").select("event_id", "user_id", "ts", saved.alias("saved")).where("saved > 0")
+    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("event_id", "user_id", "saved", F.sum("saved").over(so_far).alias("total"))
+
+
+def debounce_sessions(s, d):
+    """Bursts of events of a user, ended by a quiet time."""
+    events = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    bursts = events.groupBy("user_id", F.session_window("ts", SESSION).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last"))
+    return bursts.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
+
+
+def duplicate_content(s, d):
+    rows = files(s, d).where("content <> ''").groupBy("content_hash").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("repo").alias("repos"), F.min("path").alias("first_path"))
+    return rows.where("files > 1")
+
+
+def repository_urls(s, d):
+    rows = table(s, d, "repos").select("repo").where("repo IS NOT NULL").distinct()
+    forms = F.array(*[F.format_string(f, F.col("repo")) for f in ("https://github.com/%s", "https://github.com/%s.git", "git@github.com:%s.git", "github.com/%s/", "%s")])
+    return rows.select("repo", F.explode(forms).alias("url")).select("repo", "url", text.repository_of(F.col("url")).alias("parsed"))
+
+
+def fetched_content(s, d):
+    """Contents as a hosting interface delivers them, decoded again."""
+    sent = files(s, d).where("content <> ''").select("repo", "path", "content_hash", F.base64(F.encode("content", "UTF-8")).alias("sent"))
+    received = F.decode(F.unbase64(F.regexp_replace("sent", r"\s", "")), "UTF-8")
+    return sent.select("repo", "path", (F.sha2(received, 256) == F.col("content_hash")).alias("intact"))
+
+
+def watched_folders(s, d):
+    """The folders to watch: every folder that holds files and lies in none that is passed over."""
+    rows = files(s, d).where(F.contains("path", F.lit("/")) & ~security.skipped_entry(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
+    return rows.select("repo", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).distinct()
+
+
+def parsed_symbols(s, d):
+    rows = parse.parsed(files(s, d).where("content IS NOT NULL"))
+    return rows.select("repo", "file", "id", "name", "qualified_name", "kind", "signature", "line", "end_line", "byte_offset", "byte_length", "docstring", "parent", "content_hash")
+
+
+def incremental_index(s, d):
+    """Symbols after an incremental run: those of unchanged files as indexed, the others parsed anew."""
+    changes = materialise(detect_changes(s, d), "changes")
+    old = index.symbols(s, d, ["file", "qualified_name", "kind"]).select("repo", "file", "id", "qualified_name", "kind")
+    fresh = parse.parsed(index.files_to_process(files(s, d).where("content IS NOT NULL"), changes)).select("repo", "file", "id", "qualified_name", "kind")
+    return index.merge_symbols(old, fresh, changes)
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": hierarchy.p3_found,
     "p3_paths": hierarchy.p3_paths,
     "p3_descendants": hierarchy.p3_descendants,
     "p6_found": snapshots.p6_found,
     "p6_intervals": snapshots.p6_intervals,
-}
+    "search_symbols_exact": symbol_search("ColdSlice"),
+    "search_symbols_prefix": symbol_search("merge"),
+    "search_symbols_substring": symbol_search("Ledger", limit=100),
+    "search_symbols_kind": symbol_search("file", kind="class"),
+    "search_symbols_language": symbol_search("load", language="python"),
+    "search_symbols_glob": symbol_search("e", file_pattern="src/*.ts"),
+    "search_symbols_empty": symbol_search("", limit=100),
+    **{
+        f.__name__: f
+        for f in (
+            language_of_file, exclude_reason, skip_counts, discover_priority_cap, binary_content, detect_changes, files_to_process, merge_symbols, merge_file_hashes, disambiguate_overloads,
+            line_offsets, symbol_source_bytes, verify_hash, search_text, search_text_glob, search_text_all, search_text_grouped, files_searched, get_symbols_batch, get_symbols_errors,
+            get_symbol_context, file_tree, file_tree_prefix, file_outline, repo_languages, repo_kinds, repo_top_dirs, file_languages, list_repos, resolve_short_name, docstring_summary,
+            signature_summary, summary_tiers, summary_prompts, parse_numbered_response, tokens_saved, savings_running_total, debounce_sessions, duplicate_content, repository_urls,
+            fetched_content, watched_folders, parsed_symbols, incremental_index,
+        )
+    },
+}
 
 
 def oracles() -> dict[str, str]:
