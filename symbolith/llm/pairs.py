@@ -153,11 +153,10 @@ def code_description_pairs(source_files: DataFrame) -> DataFrame:
     """
     read = source_files.select("file_id", "repo", "fetched_at", "rel_path", "content").where("file_id IS NOT NULL")
     found = read.select(
-        "file_id", "repo", "fetched_at", "rel_path", language_of(F.col("rel_path")).alias("language"), documented_functions("content", extension_of(F.col("rel_path"))).alias("pairs")
+        "file_id", "repo", "fetched_at", "rel_path", language_of(F.col("rel_path")).alias("language"), documented_functions.asNondeterministic()("content", extension_of(F.col("rel_path"))).alias("pairs")
     )
-    told = found.withColumn("pairs", F.filter("pairs", lambda p: p["informative"])).where(F.size("pairs") > 0)
-    last = told.groupBy("file_id").agg(F.max_by(F.struct("repo", "language", "pairs"), F.struct("fetched_at", "rel_path")).alias("f"))
-    rows = last.select("file_id", "f.repo", "f.language", F.explode("f.pairs").alias("p"))
+    last = found.groupBy("file_id").agg(F.max_by(F.struct("repo", "language", "pairs"), F.struct("fetched_at", "rel_path")).alias("f"))
+    rows = last.select("file_id", "f.repo", "f.language", F.explode("f.pairs").alias("p")).where("p.informative")
     return rows.select("file_id", "repo", "language", *[F.col(f"p.{c}").alias(c) for c in ("line", "name", "kind", "signature", "docstring", "description")])
 
 
