@@ -89,7 +89,7 @@ Head     <- `func\b\s*` (Round `\s*`)? name:`[^\W\d]\w*` Space Square? Round (`[
 )
 
 RUST = (
-    BRACES.replace(r"`/\*(?:[^*]|\*(?!/))*\*/`", r'"/*" (`(?:[^*/]|\*(?!/)|/(?!\*))+` / Block)* "*/"').replace(
+    BRACES.replace("`[^()\"'/]`", "`[^()\"/]`").replace("`[^\\[\\]\"'/]`", "`[^\\[\\]\"/]`").replace("`[^<>\"'();{}]`", "`[^<>\"();{}]`").replace(r"`/\*(?:[^*]|\*(?!/))*\*/`", r'"/*" (`(?:[^*/]|\*(?!/)|/(?!\*))+` / Block)* "*/"').replace(
         r"""|'(?:[^'\\\n]|\\[\s\S])*'`""", r"""|'(?:[^'\\\n]|\\(?:u\{\w+\}|x\w\w|.))'`"""
     )
     + r"""

@@ -210,9 +210,8 @@ class C(Parser):
 
     def declarator(self, abstract: bool) -> bool:
         """Whether it declares a function."""
-        while self.take("*") or self.at("const", "volatile", "restrict") or self.is_word("__restrict"):
-            if self.K[self.i - 1] != "*":
-                self.i += 1
+        while self.at("*", "const", "volatile", "restrict") or self.is_word("__restrict"):
+            self.i += 1
         self.attributes()
         if self.at("(") and (not abstract or self.K[self.i + 1] in ("*", "(")):
             self.i += 1

@@ -638,7 +638,13 @@ class Rust(Parser):
                     self.expression()
                 self.need("=>")
                 brace = self.at("{")
-                self.expression()
+                if brace:
+                    self.block()
+                    if self.at(".", "?"):
+                        self.postfix_tail()
+                        self.rest()
+                else:
+                    self.expression()
                 if not self.take(",") and not self.at("}") and not (brace and self.K[self.i - 1] == "}"):
                     self.need(",")
             self.no_struct = kept
