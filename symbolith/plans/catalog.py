@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 IGNORE = ["modules/", "*.jsx", "!core/*.jsx", "/api/**/chunk*"]
 MAX_BYTES = 4096
 PER_REPO = 50
-SESSION = "10 minutes"
+SESSION = "10 MINUTES"
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
@@ -132,9 +132,11 @@ def search_text_grouped(s, d):
 def files_searched(s, d):
     """How many files a search that stops at its limit has opened: those up to the last match."""
     current = files(s, d)
-    last = search.search_text(current, "retention LIMIT").agg(F.max("file_seq").alias("last"), F.count(F.lit(1)).alias("n"))
-    opened = F.coalesce(F.col("n") < 100, F.lit(True)) | (F.col("file_seq") <= F.col("last"))
-    return current.select("file_seq").join(F.broadcast(last)).agg(F.count_if(opened).alias("files_searched"), F.max(F.col("n") >= 100).alias("truncated"))
+    # one row
+    last = search.search_text(current, "retention LIMIT").agg(F.max("file_seq").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    full = last["n"] >= 100
+    opened = current.select("file_seq").where(F.col("file_seq") <= last["last"]) if full else current.select("file_seq")
+    return opened.agg(F.count(F.lit(1)).alias("files_searched")).withColumn("truncated", F.lit(full))
 
 
 def requests(s, d):
@@ -236,18 +238,27 @@ def tokens_saved(s, d):
 
 
 def savings_running_total(s, d):
-    """The ledger of positive savings by user, in order of time."""
+    """The ledger of positive savings by user, in order of time; days are summed first, so that no user's rows meet in one task."""
     saved = F.floor(F.col("value") * 4).cast("long")
-    rows = table(s, d, "events").select("event_id", "user_id", "ts", saved.alias("saved")).where("saved > 0")
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("event_id", "user_id", "saved", F.sum("saved").over(so_far).alias("total"))
+    rows = table(s, d, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), saved.alias("saved")).where("saved > 0")
+    days = rows.groupBy("user_id", "day").agg(F.sum("saved").alias("held"))
+    ahead = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.select("user_id", "day", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start"))
+    so_far = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("within", F.sum("saved").over(so_far))
+    return within.join(starts, ["user_id", "day"]).select("event_id", "user_id", "saved", (F.col("start") + F.col("within")).alias("total"))
 
 
 def debounce_sessions(s, d):
-    """Bursts of events of a user, ended by a quiet time."""
-    events = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    bursts = events.groupBy("user_id", F.session_window("ts", SESSION).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last"))
-    return bursts.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
+    """Bursts of events of a user, ended by a quiet time; events of one minute meet before the shuffle."""
+    events = table(s, d, "events").select("user_id", "ts", F.date_trunc("minute", "ts").alias("minute"))
+    minutes = events.groupBy("user_id", "minute").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"))
+    order = Window.partitionBy("user_id").orderBy("minute")
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(order) + F.expr(f"INTERVAL {SESSION}"), F.lit(True))
+    burst = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = minutes.withColumn("fresh", fresh.cast("int")).withColumn("burst", burst)
+    bursts = numbered.groupBy("user_id", "burst").agg(F.min("first").cast("timestamp").alias("first"), F.max("last").cast("timestamp").alias("last"), F.sum("events").alias("events"))
+    return bursts.select("user_id", F.unix_micros("first").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
 
 
 def duplicate_content(s, d):
