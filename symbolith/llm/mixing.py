@@ -99,11 +99,12 @@ def mixed(documents: DataFrame, targets: DataFrame) -> DataFrame:
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, documents, draws, most_repeats, max_repeats) per target."""
     by = drawn.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("draws"), F.max("repeat").alias("most_repeats"))
-    every = by.agg(F.sum("tokens").alias("_all"))
+    # one number
+    every = by.agg(F.sum("tokens").alias("n")).first()["n"] or 1
     goals = targets.select(plain_source("source").alias("source"), "target_share", "max_repeats")
-    joined = goals.join(by, "source", "left").join(F.broadcast(every))
+    joined = goals.join(by, "source", "left")
     return joined.select(
-        "source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("_all"), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        "source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.lit(every), 6).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("draws", F.lit(0)).alias("draws"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats",
     )
 
