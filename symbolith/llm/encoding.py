@@ -28,6 +28,8 @@ OTHER_CHAINS = tuple((d, e) for d in ("cp932", "cp1251", "koi8-r", "cp866", "gb1
     ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1250", "cp1252"), ("cp852", "cp1252"), ("cp1252", "mac_roman"), ("mac_roman", "cp1252"),
     ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "cp1250"),
 )
+#: Right encodings of one byte a character, whose words can be restored one by one.
+SINGLE_BYTE = frozenset(d for d, _ in OTHER_CHAINS) - {"cp932", "gb18030", "euc_jp", "cp949", "big5"}
 #: At most so many n-grams make up the model that tasks get; the commonest are kept.
 MODEL_GRAMS = 200_000
 #: One clean record in so many is held out to validate the margin.
@@ -38,16 +40,18 @@ MARGINS = (12, 40)
 C1 = frozenset(map(chr, range(0x80, 0xA0)))
 #: Nats a character above which a passage is as likely as clean text.
 LIKELY = -2.5
+#: Judged words that a task remembers before it starts anew; no result depends on it.
+REMEMBERED = 300_000
 QUOTES = "\"'`“”‘’«»„‚()[]"
 
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _PAIR = re.compile("[^\x00-\x7f]{2}")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
-_RUN = re.compile("[^\x00-\x7f]{3,}|[\x80-\x9f]")
+_WIDE = re.compile(r"[^\x00-\x7f]")
+_WIDE_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
 _TALKED_ABOUT = re.compile("[\"'`“‘«(\\[][^\\s\"'`“”‘’«»()]{1,9}[\"'`”’»)\\]]")
 #: Letters as no language sets them: long runs of Latin letters with marks, Cyrillic words in inverted case.
 _ODD = re.compile("[\xc0-\xff]{4,}|[а-яё][А-ЯЁ]{2,}")
-_WORDS = re.compile("[^\x00-\x7f]{3,}(?:[ ,.!?-]*[^\x00-\x7f]{2,})*")
 _LOST = re.compile("�+")
 
 
@@ -94,12 +98,23 @@ def quoted(text: str, start: int, end: int) -> bool:
     return end - start <= 9 and start > 0 and end < len(text) and text[start - 1] in QUOTES and text[end] in QUOTES
 
 
+@lru_cache(4096)
+def mapped_to_bytes(text: str, read_as: str) -> str:
+    """The text with a character per byte; kept, as many chains share a table."""
+    return text.translate(as_bytes(read_as))
+
+
+@lru_cache(100_000)
+def word_changes(word: str, right: str, read_as: str) -> list[tuple[int, int, str]]:
+    return changes(word, right, read_as)
+
+
 def changes(text: str, right: str, read_as: str) -> list[tuple[int, int, str]]:
     """(start, end, restored) of the passages that the chain restores."""
     out: list[tuple[int, int, str]] = []
     if right == "utf-8" and not opening(read_as).search(text):
         return out
-    mapped = text.translate(as_bytes(read_as))
+    mapped = mapped_to_bytes(text, read_as)
     if right == "utf-8":
         for m in _SEQUENCE.finditer(mapped):
             start, end = m.span()
@@ -114,8 +129,9 @@ def changes(text: str, right: str, read_as: str) -> list[tuple[int, int, str]]:
             restored = m.group().encode("latin-1").decode(right)
         except UnicodeDecodeError:
             continue
-        told = _TALKED_ABOUT.sub(" ", text[max(0, m.start() - 1) : m.end() + 1])
-        if restored != text[m.start() : m.end()] and sum(c.isalpha() and not c.isascii() or c in C1 for c in told) > 1 and not quoted(text, *m.span()):
+        if restored == text[m.start() : m.end()] or quoted(text, *m.span()):
+            continue
+        if not _TALKED_ABOUT.sub(" ", text[max(0, m.start() - 1) : m.end() + 1]).isascii():
             out.append((*m.span(), restored))
     return out
 
@@ -138,6 +154,7 @@ class Model:
         self.total = sum(self.one.values()) + 1
         self.kinds = len(self.one) + 2000
         self.seen: dict[str, float] = {}
+        self.words: dict[tuple[int, str], bool] = {}
 
     def gram(self, gram: str) -> float:
         value = self.seen.get(gram)
@@ -172,49 +189,78 @@ def gains_of(model: Model, text: str, found: list[tuple[int, int, str]], known:
 
 
 def suspicious(text: str) -> bool:
-    return not text.isascii() and (_PAIR.search(text) is not None or "�" in text or _CONTROL.search(text) is not None)
-
-
-def unlikely_lines(model: Model, text: str, known: dict) -> list[tuple[int, int]]:
-    """Lines with letters beyond ASCII that are less likely a character than clean text is."""
+    """Whether the text can be garbled: all tables keep ASCII as it is."""
+    return not text.isascii()
+
+
+def unlikely_word(model: Model, line: str, start: int, end: int) -> bool:
+    """Whether the characters beyond ASCII of a word, and the two behind each, are less likely than in clean text."""
+    before = min(2, start)
+    word = line[start - before : end + 2]
+    value = model.words.get((before, word))
+    if value is None:
+        if len(model.words) >= REMEMBERED:
+            model.words.clear()
+        last = before + end - start
+        at = sorted({j for i in range(before, last) if not word[i].isascii() for j in (i, i + 1, i + 2) if j < len(word)})
+        value = model.words[before, word] = sum(model.score(word, j, j - 1) for j in at) < LIKELY * len(at)
+    return value
+
+
+def unlikely_lines(model: Model, text: str) -> list[tuple[int, int]]:
+    """Lines that are less likely a character than clean text is, or hold a word that is; lines of ASCII can't be garbled."""
     out, start = [], 0
     for line in text.split("\n"):
         end = start + len(line)
-        if _RUN.search(line):
-            value = known.get((start, end))
-            if value is None:
-                value = known[start, end] = model.score(text[max(0, start - 2) : end], min(2, start), min(2, start) + len(line))
-            if value < LIKELY * (len(line) + 2) or _CONTROL.search(line) or _ODD.search(line) or _odd_part(model, line):
+        if not line.isascii():
+            if _CONTROL.search(line) or _ODD.search(line) or any(unlikely_word(model, line, *m.span()) for m in _WIDE_WORD.finditer(line)):
+                out.append((start, end))
+            elif model.score(text[max(0, start - 2) : end], min(2, start), min(2, start) + len(line)) < LIKELY * (len(line) + 2):
                 out.append((start, end))
         start = end + 1
     return out
 
 
-def _odd_part(model: Model, line: str) -> bool:
-    """Whether a run of words beyond ASCII inside a likely line is unlikely by itself."""
-    for m in _WORDS.finditer(line):
-        if model.score(line, m.start(), max(m.start(), m.end() - 2)) < LIKELY * (m.end() - m.start()):
-            return True
-    return False
+def by_words(model: Model, text: str, found: list[tuple[int, int, str]], gained: list[float], right: str, read_as: str, known: dict, unlikely: dict) -> tuple[list[tuple[int, int, str]], list[float]]:
+    """Passages that a chain between single-byte tables makes less likely as a whole, taken apart into their unlikely words.
+
+    ``unlikely`` keeps the words of passages that other chains change too.
+    """
+    out, gains = [], []
+    for passage, gain in zip(found, gained):
+        parts = [passage]
+        if gain <= 0:
+            start, end, _ = passage
+            words = unlikely.get((start, end))
+            if words is None:
+                spans = [(start + m.start(), m.group()) for m in _WIDE_WORD.finditer(text[start:end])]
+                words = unlikely[start, end] = [(at, w) for at, w in spans if unlikely_word(model, text, at, at + len(w))]
+            parts = [(at + x, at + y, z) for at, w in words for x, y, z in word_changes(w, right, read_as) if not quoted(text, at + x, at + y)]
+        out += parts
+        gains += [gain] if gain > 0 else gains_of(model, text, parts, known)
+    return out, gains
 
 
 def best_chain(model: Model, text: str) -> tuple[float, str, list[tuple[int, int, str]]]:
     """The likeliest chain with its gain; passages that it would make less likely are left alone.
 
     Chains between single-byte tables apply to almost any text, so they are tried on lines that are unlikely as they
-    stand.
+    stand or hold a word that is.
     """
     best: tuple[float, str, list[tuple[int, int, str]]] = (0.0, "", [])
     known: dict = {}
+    unlikely: dict = {}
     tried = [(r"utf-8", e, changes(text, "utf-8", e)) for e in UTF8_READ_AS if opening(e).search(text)]
-    lines = unlikely_lines(model, text, {}) if _RUN.search(text) else []
+    lines = unlikely_lines(model, text)
     if lines:
-        letters = {ord(c) for a, b in lines for c in text[a:b] if not c.isascii()}
+        letters = {ord(c) for a, b in lines for c in _WIDE.findall(text[a:b])}
         for right, read_as in OTHER_CHAINS:
-            if len(letters & table_of(read_as).keys()) >= min(3, len(letters)):
+            if not letters.isdisjoint(table_of(read_as)):
                 tried.append((right, read_as, [(a + x, a + y, z) for a, b in lines for x, y, z in changes(text[a:b], right, read_as)]))
     for right, read_as, found in tried:
         gained = gains_of(model, text, found, known)
+        if right in SINGLE_BYTE:
+            found, gained = by_words(model, text, found, gained, right, read_as, known, unlikely)
         total = sum(g for g in gained if g > 0)
         if total > best[0]:
             best = (total, f"{read_as}>{right}", [c for c, g in zip(found, gained) if g > 0])

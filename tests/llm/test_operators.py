@@ -198,3 +198,18 @@ def test_encoding(spark):
     assert {i: got[i]["restored"] for i in original} == original
     assert got[1010]["restored"] is None and not got[1010]["complete"]
     assert encoding.examined(documents.limit(0)).count() == 0
+
+
+def test_encoding_judges_single_accents_and_trail_bytes(spark):
+    """Accents one by one, and two-byte characters with an ASCII trail byte, have no two neighbours beyond ASCII."""
+    german = ["Der Prüfer gibt für jede Zeile die Prüfsumme zurück.", "Die Größe kann später geändert werden.", "Für jede Änderung wird ein Schlüssel gelöscht."]
+    japanese = ["テストのリストをシステムで表示する。", "データのテストはシステムのリストにある。"]
+    rows = list(enumerate((german + japanese + ["plain words only in this text", "The café is fine, naïve or not."]) * 400))
+    text = "\n".join(german)
+    bad = {9000: text.encode("cp1252").decode("mac_roman"), 9001: text.encode("cp1252").decode("cp437"), 9002: "a line before\n" + "テスト リスト".encode("cp932").decode("latin-1")}
+    original = {9000: text, 9001: text, 9002: "a line before\nテスト リスト"}
+    right = {9010: "Only one é here.", 9011: "A price of 5 € or ½ of it.", 9012: text}
+    documents = spark.createDataFrame(rows + list((bad | right).items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in encoding.examined(documents).collect()}
+    assert {i for i, r in got.items() if r["affected"]} == set(bad)
+    assert {i: got[i]["restored"] for i in original} == original
