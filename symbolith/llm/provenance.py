@@ -43,7 +43,16 @@ _DENIED = re.compile(r"kept by hand|not generated|hand-?written|edit\b[^.;\n]*\b
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
 _HASH = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*")
 _WORD = re.compile(r"\w+")
-_DATA_LINE = re.compile(r"^[\s\[\](){},;]*(?:(?:[\"'][^\"'\n]*[\"']|-?(?:0[xX][\da-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[uUlLfFdD]?|true|false|null|None|True|False|nil)[\s\[\](){},:;=>]*)+$")
+#: A literal; its quote is empty where a string never ends. Possessive, so that a line of any length is read once.
+_LITERAL = re.compile(
+    r"\"(?:[^\"\\\n]|\\.?)*+(?P<double>\"?)|'(?:[^'\\\n]|\\.?)*+(?P<single>'?)"
+    r"|(?<![\w.])[-+]?(?:0[xX][\da-fA-F]++|\.?\d[\d_.]*+(?:[eE][-+]?\d++)?)[uUlLfFdD]{0,3}+(?!\w)|\b(?:true|false|null|None|True|False|nil)\b"
+)
+_SEPARATORS = re.compile(r"[\s\[\](){},:;=>]*")
+_BEGINS = re.compile(r"[\s\[\](){},:;=>]*(?:[\"'\d.+-]|true\b|false\b|null\b|None\b|True\b|False\b|nil\b)")
+_ASSIGNED = re.compile(r"[^=\"'\d]{0,200}\w[^=\"'\d]{0,200}=\s*(?=[\[({])")
+#: So many characters of literals, or lines of them, make data; so many literals behind a name make a line of data.
+LEAST_LITERAL, LEAST_ROWS, LEAST_VALUES = 200, 8, 8
 
 
 def comments_and_code(text: str, extension: str) -> tuple[list[str], str]:
@@ -81,11 +90,35 @@ def minified(code: str) -> bool:
     return longest > 300 and dense > 0.5 * size
 
 
+def literals_in(line: str) -> tuple[int, int]:
+    """(number of literals, their characters) of a line of data, that is, one of literals and separators; (0, 0) for any other.
+
+    A name may be assigned to before a bracket, if many literals follow.
+    """
+    count = size = 0
+
+    def take(m: re.Match) -> str:
+        nonlocal count, size
+        if m.group()[0] in "\"'" and not (m.group("double") or m.group("single")):
+            return "x"
+        count += 1
+        size += len(m.group())
+        return " "
+
+    head = _ASSIGNED.match(line)
+    held = line[head.end() :] if head else line
+    if not _BEGINS.match(held):
+        return 0, 0
+    rest = _LITERAL.sub(take, held)
+    return (count, size) if count >= (LEAST_VALUES if head else 1) and _SEPARATORS.fullmatch(rest) else (0, 0)
+
+
 def mostly_data(code: str) -> bool:
-    """Most of the code's lines, and of its characters, are literals."""
+    """Most of the code's characters stand in lines of literals."""
     lines = [x for x in code.splitlines() if x.strip()]
-    data = [x for x in lines if _DATA_LINE.match(x[:2000])]
-    return len(data) >= 8 and len(data) > 0.6 * len(lines) and sum(map(len, data)) > 0.6 * sum(map(len, lines))
+    data = [(x, size) for x in lines for count, size in [literals_in(x)] if count]
+    enough = sum(size for _, size in data) >= LEAST_LITERAL or len(data) >= LEAST_ROWS
+    return enough and sum(len(x) for x, _ in data) > 0.6 * sum(map(len, lines))
 
 
 TRAITS = T.StructType(

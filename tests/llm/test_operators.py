@@ -213,3 +213,14 @@ def test_encoding_judges_single_accents_and_trail_bytes(spark):
     got = {r["doc_id"]: r for r in encoding.examined(documents).collect()}
     assert {i for i, r in got.items() if r["affected"]} == set(bad)
     assert {i: got[i]["restored"] for i in original} == original
+
+
+def test_data_of_long_lines():
+    row = '["' + "a b " * 800 + '", 1, 2],\n'
+    numbers = "[" + ", ".join(["0.125"] * 5000) + "]"
+    assert provenance.mostly_data(row * 9) and provenance.mostly_data(numbers) and provenance.mostly_data("X = " + numbers)
+    assert not provenance.mostly_data(("1, " * 700 + "f(x) + g(y) * h;" * 50 + "\n") * 9)
+    assert not provenance.mostly_data('NAME = "x"\nSIZES = [1, 2, 3]\n') and not provenance.mostly_data("") and not provenance.mostly_data('"never ends, ' * 40)
+    # each of these took more than linear time in some form of the pattern
+    for text in ("1234 " * 40 + "x", "1234" * 100_000 + "x", '"\\' * 100_000, '\\"' * 100_000, "''" * 50_000 + "z"):
+        assert not provenance.mostly_data(text)
