@@ -1,13 +1,15 @@
 """From file rows to symbol rows: a table function that runs where the files are read.
 
 Python files are read with the standard library's syntax tree; the other languages by their declaration patterns and
-the braces around bodies, with strings and comments blanked first. A text that can't be read gives no rows.
+the braces around bodies, with strings and comments blanked first. A Python text that is no valid one is read by its
+declaration patterns and indentation.
 """
 
 from __future__ import annotations
 
 import ast
 import hashlib
+import inspect
 import re
 from collections.abc import Iterator
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 NAME = r"[^\W\d][\w$]*"
 _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`|'(?:[^'\\\n]|\\.)*'")
+_PYTHON_BLANK = re.compile(r"#[^\n]*|\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"?|'(?:[^'\\\n]|\\[\s\S])*+'?")
+_DOCSTRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*[rRuU]?(\"\"\"|'''|\"|')((?:\\[\s\S]|(?!\1)[^\\])*+)\1")
 _WORDS = r"(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|export|default|declare|readonly|unsafe|extern|inline|const|pub(?:\([^)]*\))?|open|mutating|synchronized)"
 #: What declares a symbol, by language: kind and pattern of the declaration with its name.
 PATTERNS: dict[str, list[tuple[str, str]]] = {
@@ -90,35 +94,88 @@ def by_patterns(text: str, language: str) -> list[tuple]:
 
 
 def by_tree(text: str) -> list[tuple]:
+    """As ``by_patterns``, of all definitions, those in functions and in branches of any statement included."""
     rows: list[tuple] = []
     raw = text.encode()
     starts = [0, *(m.end() for m in re.finditer(rb"\n", raw))]
     at = lambda line, column: len(raw[: starts[line - 1] + column].decode())
+    waiting: list[ast.AST] = [ast.parse(text)]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+            column = node.col_offset
+            start, end = at(first, column), at(node.end_lineno, node.end_col_offset)
+            head = text[at(node.lineno, column) : at(node.body[0].lineno, 0)].split(":\n")[0]
+            rows.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", start, end, signature_of(head).rstrip(":"), (ast.get_docstring(node) or "").strip()))
+            if node.decorator_list and not isinstance(node, ast.ClassDef):
+                continue  # the reference doesn't go into decorated functions
+        waiting += [x for x in ast.iter_child_nodes(node) if isinstance(x, (ast.stmt, ast.excepthandler, ast.match_case))]
+    return rows
+
+
+def by_indentation(text: str) -> list[tuple]:
+    """As ``by_tree``, of a Python text that is no valid one: a definition ends before the next line that isn't indented deeper.
 
-    def walk(body: list[ast.stmt]) -> None:
-        for node in body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-                column = node.col_offset
-                start, end = at(first, column), at(node.end_lineno, node.end_col_offset)
-                head = text[at(node.lineno, column) : at(node.body[0].lineno, 0)].split(":\n")[0]
-                rows.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", start, end, signature_of(head).rstrip(":"), (ast.get_docstring(node) or "").strip()))
-                if isinstance(node, ast.ClassDef):
-                    walk(node.body)
-            else:
-                for part in ("body", "orelse", "finalbody"):
-                    walk([x for x in getattr(node, part, []) if isinstance(x, ast.stmt)])
-
-    walk(ast.parse(text).body)
+    Text in strings and comments declares nothing. A string that never ends counts to the end of its line.
+    """
+    code = _PYTHON_BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    lines = [(m.start(), m.end(), len(m.group(1).expandtabs())) for m in re.finditer(r"^([ \t\f]*)(?=\S).*", code, re.M)]
+    place = {start: i for i, (start, _, _) in enumerate(lines)}
+    rows: list[tuple] = []
+    decorated_until = -1
+    for m in re.finditer(rf"^([ \t\f]*)((?:async[ \t]+)?def|class)[ \t]+({NAME})", code, re.M):
+        if m.start() < decorated_until:
+            continue
+        first = at = place[m.start()]
+        indent = lines[at][2]
+        while first and lines[first - 1][2] == indent and code[lines[first - 1][0] : lines[first - 1][1]].lstrip().startswith("@"):
+            first -= 1
+        head_end = head_of(code, m.end())
+        inside = at + 1
+        while inside < len(lines) and (lines[inside][2] > indent or lines[inside][0] < head_end):
+            inside += 1
+        start = lines[first][0] + len(m.group(1))
+        # the last line of the body may be a string, which is blank in the code
+        limit = lines[inside][0] if inside < len(lines) else len(text)
+        end = max(m.end(), start + len(text[start : ends_at(text, lines[inside - 1][1], limit, indent)].rstrip()))
+        doc = _DOCSTRING.match(text, head_end + 1) if code[head_end : head_end + 1] == ":" else None
+        kind = "class" if m.group(2) == "class" else "function"
+        rows.append((m.group(3), kind, start, end, signature_of(text[m.start(2) : head_end]), inspect.cleandoc(doc.group(2).replace("\r\n", "\n")).strip() if doc else ""))
+        if kind == "function" and first < at:
+            decorated_until = end
     return rows
 
 
+def head_of(code: str, at: int) -> int:
+    """Where the head of a definition ends: at the colon outside brackets, or at the end of a line that can't go on."""
+    depth = 0
+    for m in re.compile(r"[()\[\]{}:]|\n(?=[ \t]*(?:(?:async[ \t]+)?def|class|return|@\w+)\b)|\n[ \t\r]*(?=\n)").finditer(code, at):
+        mark = m.group()[0]
+        if mark == "\n" or (mark == ":" and depth <= 0):
+            return m.start()
+        depth += (mark in "([{") - (mark in ")]}")
+    return len(code)
+
+
+def ends_at(text: str, end: int, limit: int, indent: int) -> int:
+    """``end``, or the end of the strings indented deeper behind it."""
+    for m in re.compile(r"^([ \t\f]*)(?=[rRbBuUfF]*[\"'])", re.M).finditer(text, end, limit):
+        if len(m.group(1).expandtabs()) > indent:
+            string = _PYTHON_BLANK.search(text, m.end(), limit)
+            end = string.end() if string else end
+    return end
+
+
 def symbols_of(path: str, text: str, language: str) -> list[dict]:
-    """The symbols of a file, children after their parents; nothing for a text that can't be read."""
-    try:
-        found = by_tree(text) if language == "python" else by_patterns(text, language) if language in PATTERNS else []
-    except (SyntaxError, ValueError, RecursionError, IndexError):
-        return []
+    """The symbols of a file, children after their parents; of a Python text that is no valid one, those that can be made out."""
+    if language == "python":
+        try:
+            found = by_tree(text)
+        except (SyntaxError, ValueError, RecursionError, IndexError, MemoryError):
+            found = by_indentation(text)
+    else:
+        found = by_patterns(text, language) if language in PATTERNS else []
     open_: list[tuple[int, str, str]] = []
     out = []
     for name, kind, start, end, signature, docstring in sorted(found, key=lambda f: (f[2], -f[3])):

@@ -291,3 +291,16 @@ def test_registered_queries_run(spark, small):
     assert set(oracles) <= set(queries)
     for name in ("language_of_file", "search_text", "file_tree", "merge_symbols", "parsed_symbols", "p6_found"):
         assert queries[name](spark, small).count() >= 0
+
+
+def test_python_definitions_in_functions_branches_and_broken_files(spark):
+    nested = "try:\n    import q\nexcept ImportError:\n    def q(a):\n        return a\n\nclass A:\n    def m(self):\n        class Local:\n            def deep(self):\n                return 1\n        def inner():\n            return 2\n        return inner\n\n@dec\ndef g():\n    def hidden():\n        return 3\n    return hidden\n\nmatch x:\n    case 1:\n        def matched():\n            return 4\n"
+    broken = 'class B:\n    def ok(self, a={1: 2}) -> int:\n        """Does it."""\n        return 1\n\ntext = "def no(): pass"\n# def neither(): pass\ndef bad(:\n    x = (\n'
+    rows = parse.parsed(file_rows(spark, [("r", "n.py", nested), ("r", "b.py", broken)])).collect()
+    got = {(r["file"], r["qualified_name"], r["kind"], r["line"], r["end_line"]) for r in rows}
+    assert got == {
+        ("n.py", "q", "function", 4, 5), ("n.py", "A", "class", 7, 14), ("n.py", "A.m", "function", 8, 14), ("n.py", "A.Local", "class", 9, 11), ("n.py", "A.Local.deep", "function", 10, 11), ("n.py", "A.inner", "function", 12, 13),
+        ("n.py", "g", "function", 16, 20), ("n.py", "matched", "function", 24, 25), ("b.py", "B", "class", 1, 4), ("b.py", "B.ok", "function", 2, 4), ("b.py", "bad", "function", 8, 9),
+    }
+    by = {r["qualified_name"]: r for r in rows}
+    assert by["B.ok"]["docstring"] == "Does it." and by["B.ok"]["signature"] == "def ok(self, a={1: 2}) -> int" and by["A.inner"]["parent"] == "n.py::A#class"
