@@ -23,6 +23,8 @@ from symbolith.sources.tables import current_symbols, materialise, small_enough,
 OPENING_WORDS, SHINGLE, HASHES = 8, 5, 16
 #: A template recurs if so many different prompts got it.
 UNRELATED_PROMPTS = 2
+#: Different names and signatures, kinds, and words of content that a recurring response without a declining phrase needs to be a refusal.
+UNRELATED_NAMES, UNRELATED_KINDS, LEAST_CONTENT = 3, 2, 3
 #: Labelled documents per language that the language model is fitted on.
 DOCUMENTS_PER_LANGUAGE = 300
 #: So many full sentences must end alike, or texts hold a word, for it to be known.
@@ -183,7 +185,7 @@ def foreign(model):
             ours, theirs = sum(w in english for w in words), sum(w in FOREIGN_WORDS for w in words)
             if theirs > ours:
                 out.append(1000.0)
-            elif ours or not (theirs or not prose.isascii()):
+            elif ours or not words:
                 out.append(None)
             else:
                 sums = [0.0] * len(unseen)
@@ -223,6 +225,24 @@ def known_endings(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames, words.select("last_word", F.lit(True).alias("known_word"))
 
 
+def silent_templates(held: DataFrame) -> DataFrame:
+    """(_words, met): whole responses that decline without a known phrase.
+
+    They recur over unrelated kinds, names and signatures, share no word of content with their prompts, and say none
+    that several prompts of the corpus give: a description speaks of what the corpus is about, though it be of another
+    symbol. Only what recurs is looked up among the words of the prompts.
+    """
+    apart = held.where("_simple IS NULL AND _apart AND finish IN ('full', 'word')").where(~F.coalesce(F.col("_foreign") > foreign_margin(), F.lit(False)) & (F.size("_content") >= LEAST_CONTENT))
+    counted = apart.groupBy("_words", "_content").agg(F.countDistinct("kind").alias("kinds"), F.countDistinct("qualified_name").alias("met"), F.countDistinct("_asked").alias("asked"))
+    recurring = materialise(counted.where((F.col("kinds") >= UNRELATED_KINDS) & (F.col("met") >= UNRELATED_NAMES) & (F.col("asked") >= UNRELATED_NAMES)).select("_words", "_content", "met"), "recurring")
+    word = F.col("word")
+    forms = F.array(word, F.regexp_replace(word, "s$", ""), F.regexp_replace(word, "es$", ""), F.regexp_replace(word, "ies$", "y"))
+    said = recurring.select("_words", F.explode("_content").alias("word")).select("_words", F.explode(F.array_distinct(forms)).alias("word"))
+    wanted = said.select("word").distinct()
+    given = held.select(F.explode("_given").alias("word")).join(wanted, "word", "left_semi").groupBy("word").count().where(F.col("count") >= KNOWN)
+    return recurring.join(said.join(given, "word", "left_semi").select("_words").distinct(), "_words", "left_anti").select("_words", "met")
+
+
 def join_small(frame: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """Left join with a written table: broadcast if it is small, by shuffle with skew handling otherwise."""
     side = materialise(side, "side")
@@ -244,8 +264,11 @@ def judged(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     bare = squeezed(F.col("summary"))
     simple = F.when((bare == "") | bare.isin(*PLACEHOLDERS) | bare.rlike(r"^\d{1,3}$"), "empty").when(copied(base), "copy")
     scored = openings(base).withColumn("_simple", simple).withColumn("_foreign", foreign(model)("summary"))
+    content = F.filter("_words", lambda w: ~w.isin(*FUNCTION_WORDS))
+    near = F.concat("_given", F.transform("_given", lambda w: F.concat(w, F.lit("s"))), F.transform("_given", lambda w: F.concat(w, F.lit("es"))))
     lean = termination(scored).select(
         "repo", "id", "qualified_name", "signature_hash", "shingles", "opening", "_simple", "_foreign", "finish", "last_word", "frame", "_words",
+        "kind", "_given", F.xxhash64("signature").alias("_asked"), content.alias("_content"), (~F.arrays_overlap(content, near)).alias("_apart"),
         F.array_contains("_given", F.col("last_word")).alias("_own"), F.lower("summary").rlike(INABILITY).alias("_declines"),
     )
     held = materialise(lean, "responses")
@@ -256,7 +279,8 @@ def judged(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     frames, words = known_endings(held.where("_simple IS NULL"))
     joined = join_small(held, refusals, ["signature_hash", "shingles"])
     joined = join_small(join_small(joined, frames, ["frame"]), words, ["last_word"])
-    recurs = F.col("template").isNotNull() & ((F.col("prompts") >= UNRELATED_PROMPTS) | F.col("_declines"))
+    joined = join_small(joined, silent_templates(held), ["_words"]).withColumn("template", F.coalesce("template", F.when(F.col("met").isNotNull(), F.array_join("_words", " ")))).withColumn("prompts", F.coalesce("prompts", "met"))
+    recurs = F.col("met").isNotNull() | F.col("template").isNotNull() & ((F.col("prompts") >= UNRELATED_PROMPTS) | F.col("_declines"))
     broken = (F.col("finish") == "ellipsis") | (F.col("finish") == "open") | (
         (F.col("finish") == "word") & (F.coalesce(~F.col("known_frame"), F.lit(True)) | (F.coalesce(~F.col("known_word"), F.lit(True)) & ~F.coalesce("_own", F.lit(False))))
     )

@@ -224,3 +224,19 @@ def test_data_of_long_lines():
     # each of these took more than linear time in some form of the pattern
     for text in ("1234 " * 40 + "x", "1234" * 100_000 + "x", '"\\' * 100_000, '\\"' * 100_000, "''" * 50_000 + "z"):
         assert not provenance.mostly_data(text)
+
+
+def test_refusals_without_a_declining_phrase(spark):
+    """A response to unrelated prompts that says nothing of the corpus is a refusal; one about its things, or to one kind only, is none."""
+    noun = ["tree", "path", "cache", "row", "file", "ledger"]
+    kinds = ["function", "class", "method"]
+    said = {"r": "That falls outside what may be answered here.", "d": "Skips unparsed entries of each ledger.", "w": "Guarda lista ordenada nueva"}
+    rows = [(f"{k}{i}", kinds[i % 3], f"{k}_{n}", f"{k}_{n}(ledger)", s) for k, s in said.items() for i, n in enumerate(noun)]
+    rows += [(f"o{i}", "function", f"o_{n}", f"o_{n}(ledger)", "Main entry point, started once.") for i, n in enumerate(noun)] + [(f"g{i}", "function", f"g_{n}", f"g_{n}(ledger)", f"Holds one {n} for the given owner.") for i, n in enumerate(noun)]
+    df = spark.createDataFrame([("o/r", i, k, n, n, g, s) for i, k, n, g, s in rows], "repo string, id string, kind string, name string, qualified_name string, signature string, summary string")
+    text = {"en": "The file is closed when the index was read and all rows are dropped from the tree.", "es": "La lista nueva se guarda ordenada sin bloquear la fuente de datos, y la lista ordenada se guarda."}
+    documents = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(text.items())], "doc_id long, text string, lang string")
+    got = {}
+    for r in answers.judged(df, documents).collect():
+        got.setdefault(r["id"][0], set()).add((r["defect"], r["prompts"] if r["defect"] == "refusal" else None))
+    assert got == {"r": {("refusal", 6)}, "d": {(None, None)}, "w": {("wrong_language", None)}, "o": {(None, None)}, "g": {(None, None)}}
