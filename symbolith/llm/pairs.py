@@ -113,12 +113,17 @@ def kind_of(language: str, head: str, name: str) -> str:
 
 
 def documented(text: str, extension: str) -> list[dict]:
-    """Every function of ``text`` with documentation; none for a text that does not parse."""
+    """Every function of ``text`` with documentation; none for a text that does not parse, or is nested too deep to be read."""
     language = syntax.LANGUAGES.get(extension)
     if language is None:
         return []
+    syntax.allow_nesting()
+    try:
+        found = pairs(text, language)
+    except RecursionError:
+        return []
     starts, out = line_of(text), []
-    for doc, head, name in pairs(text, language):
+    for doc, head, name in found:
         raw = text[doc[0] : doc[1]]
         plain = plain_documentation(raw, language)
         label = text[name[0] : name[1]]

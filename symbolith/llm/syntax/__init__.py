@@ -23,19 +23,29 @@ BY_EXTENSION: dict[str, tuple[str, Check]] = {
     "h": ("c", c.check),
 }
 LANGUAGES = {extension: language for extension, (language, _) in BY_EXTENSION.items()}
+#: Frames that a text may take, which is some 20,000 nested brackets. Frames of Python functions lie on the heap.
+DEEPEST = 400_000
+
+
+def allow_nesting() -> None:
+    """Lets grammars and parsers recurse as deep as DEEPEST."""
+    if sys.getrecursionlimit() < DEEPEST:
+        sys.setrecursionlimit(DEEPEST)
 
 
 def check(text: str, extension: str) -> list[tuple[int, str]] | None:
-    """All syntax errors (offset, message) of ``text``; None for an unknown extension. Blank text has none."""
+    """All syntax errors (offset, message) of ``text``; blank text has none.
+
+    None for an unknown extension, and for a text nested too deep to be read (DEEPEST), of which nothing can be said.
+    """
     known = BY_EXTENSION.get(extension)
     if known is None:
         return None
     if not text.strip():
         return []
-    if sys.getrecursionlimit() < 12_000:
-        sys.setrecursionlimit(12_000)
+    allow_nesting()
     text = text.removeprefix("﻿")
     try:
         return known[1](text, extension)
     except RecursionError:
-        return [(0, "nesting too deep to read")]
+        return None

@@ -134,7 +134,8 @@ class Parser:
         """Whether ``rule`` parses here; if not, nothing is consumed."""
         at = self.i
         try:
-            rule(*args)
+            # a call with unpacked arguments would lie on the stack of C, which is short
+            rule(*args) if args else rule()
             return True
         except Problem:
             self.i = at

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from symbolith.llm.syntax.c import NUMBER, OPERATORS
-from symbolith.llm.syntax.core import CLOSE, OPEN, Parser, Tokens, scan
+from symbolith.llm.syntax.core import CLOSE, OPEN, Parser, Problem, Tokens, scan
 
 TOKEN = re.compile(
     rf"""(?P<skip>//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*\#[ \t]*(?:if|elif|else|endif|region|endregion|define|undef|pragma|nullable|warning|error|line)\b[^\n]*)|{NUMBER}
@@ -114,6 +114,7 @@ class CSharp(Parser):
         found, holes = tokens(text)
         super().__init__(text, found)
         self.types: list[str] = []
+        self.tuple_types: dict[int, tuple[int, str | None]] = {}
         for a, b in holes:
             piece = text[a:b]
             part = Hole(piece)
@@ -403,13 +404,7 @@ class CSharp(Parser):
         self.take("ref")
         k = self.K[self.i]
         if k == "(":
-            self.i += 1
-
-            def one() -> None:
-                self.type_()
-                self.take("id")
-
-            self.separated(one, ")", False)
+            self.tuple_type()
         elif k in PREDEFINED:
             self.i += 1
         else:
@@ -430,6 +425,27 @@ class CSharp(Parser):
             else:
                 return
 
+    def tuple_type(self) -> None:
+        """Remembered by place, as each bracket of a nest may be asked for anew from every one around it."""
+        at = self.i
+        known = self.tuple_types.get(at)
+        if known is None:
+            self.i += 1
+            try:
+                self.separated(self.tuple_part, ")", False)
+            except Problem as p:
+                self.tuple_types[at] = (p.at, p.message)
+                raise
+            self.tuple_types[at] = (self.i, None)
+        elif known[1] is not None:
+            raise Problem(*known)
+        else:
+            self.i = known[0]
+
+    def tuple_part(self) -> None:
+        self.type_()
+        self.take("id")
+
     # -- statements
 
     def block(self) -> None:

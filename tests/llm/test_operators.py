@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +241,31 @@ def test_refusals_without_a_declining_phrase(spark):
     for r in answers.judged(df, documents).collect():
         got.setdefault(r["id"][0], set()).add((r["defect"], r["prompts"] if r["defect"] == "refusal" else None))
     assert got == {"r": {("refusal", 6)}, "d": {(None, None)}, "w": {("wrong_language", None)}, "o": {(None, None)}, "g": {(None, None)}}
+
+
+def nested(extension, n):
+    o, c = "(" * n, ")" * n
+    if extension == "py":
+        return f'def f(a={o}1{c}):\n    """Adds all numbers up."""\n    return {o}1{c}\n'
+    head = {"go": "func f(a int) int {", "rs": "fn f(a: u8) -> u8 {", "js": f"function f(a = {o}1{c}) {{ return", "ts": f"function f(a = {o}1{c}) {{ return"}.get(extension, "int f(int a) { return")
+    if extension == "go":
+        head += " return"
+    body = f"/** Adds all the numbers up. */\n{head} {o}1{c}{'' if extension == 'rs' else ';'} }}\n"
+    return {"go": f"package a\n\n{body}", "java": f"class A {{\n{body}}}\n", "cs": f"class A {{\n{body}}}\n"}.get(extension, body)
+
+
+@pytest.mark.parametrize("extension", ["py", "js", "ts", "go", "java", "rs", "cs", "c"])
+def test_deep_nesting_is_read_in_a_fresh_worker(extension):
+    """10,000 nested brackets parse and keep their pair; beyond the limit a text is unknown, neither valid nor an error of the job."""
+    import subprocess
+    import sys
+    import time
+
+    code = "import sys; sys.path.insert(0, sys.argv[1]); from symbolith.llm import pairs, syntax; t = sys.stdin.read(); print(len(pairs.documented(t, sys.argv[2])), syntax.check(t, sys.argv[2]))"
+    root = Path(__file__).resolve().parents[2]
+    began = time.perf_counter()
+    done = subprocess.run([sys.executable, "-c", code, str(root), extension], input=nested(extension, 10_000), capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() == "1 []", done.stderr[-300:]
+    assert time.perf_counter() - began < 20
+    done = subprocess.run([sys.executable, "-c", code, str(root), extension], input=nested(extension, 200_000), capture_output=True, text=True, timeout=60)
+    assert done.stdout.strip() in ("0 None", "1 None", "1 []"), (done.stdout[:100], done.stderr[-300:])
