@@ -1,9 +1,9 @@
 """Broken prompt and response pairs (problem 2).
 
 The prompt of a symbol is its kind, qualified name and signature, the response its summary. Openings of responses, with
-what the prompt gives masked, are clustered by verified MinHash; templates that recur across unrelated prompts and
-speak of the speaker's inability are refusals. Copy, language and termination checks label the other defects. All but
-the language model's scoring are column expressions.
+what the prompt gives masked, recur as templates; those that recur across unrelated prompts and carry nothing of any of
+them are refusals, whatever their words, and verified MinHash links the variants of their wording to them. Copy,
+language and termination checks label the other defects. All but the language model's scoring are column expressions.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 
 from symbolith.sources.tables import current_symbols, materialise, small_enough, table
 
-#: Words of a response that make up its opening, words in a shingle, MinHash functions.
-OPENING_WORDS, SHINGLE, HASHES = 8, 5, 16
-#: A template recurs if so many different prompts got it.
-UNRELATED_PROMPTS = 2
-#: Different names and signatures, kinds, and words of content that a recurring response without a declining phrase needs to be a refusal.
-UNRELATED_NAMES, UNRELATED_KINDS, LEAST_CONTENT = 3, 2, 3
+#: Words of a response that make up its opening, and of the passage that variants are linked by.
+OPENING_WORDS, PASSAGE_WORDS = 8, 24
+#: Words in a shingle, bands and rows of MinHash, and the similarity that links two passages.
+SHINGLE, BANDS, ROWS, SIMILAR = 5, 8, 3, 0.8
+#: A leading clause before others.
+LEAD = r"^\s*(?:[^\s,;:—–]+\s+){0,3}[^\s,;:—–]+\s*(?:,|—|–)\s*(?=(?:\S+\s+){3}\S)"
+#: Words of content that a template of refusals has at least.
+LEAST_CONTENT = 2
 #: Labelled documents per language that the language model is fitted on.
 DOCUMENTS_PER_LANGUAGE = 300
 #: So many full sentences must end alike, or texts hold a word, for it to be known.
@@ -53,14 +55,8 @@ FOREIGN_WORDS = frozenset(
 )
 #: Words of English sentences that another language has too.
 SHARED_WORDS = frozenset("a an in on as no do was so is or at by of me also will war over under van den".split())
-#: Phrases by which a speaker declines.
-INABILITY = (
-    r"\b(?:i|we)(?:'m| am| are|'re)? (?:(?:am |are )?(?:sorry|afraid|unable|not able|apologi[sz]e)|apologi[sz]e|can ?not|can'?t|could ?n[o']t|do(?: not|n'?t)|wo(?:uld)? ?n[o']t|won'?t|will not|must decline|have to decline|decline|refuse|regret|lack)\b"
-    r"|\bas an? (?:ai|large |language|assistant|ai language)"
-    r"|^(?:(?:my |sincere )*apologies|sorry|unfortunately|regrettably)\b"
-    r"|\bthis request (?:can'?t|can ?not|could not)|\bimpossible for me\b|\bnot enough (?:context|information|detail)|\b(?:insufficient|more) (?:context|information) (?:is |are )?(?:needed|required|to)"
-    r"|\bplease provide (?:the|more)|\bcould you (?:share|provide|please)|\blet me know if\b|\bhelp with (?:that|something)\b"
-)
+#: Words by which a speaker means themselves.
+FIRST_PERSON = "i i'm i've i'd i'll me my myself we we're we've us our".split()
 
 
 def squeezed(text: Column) -> Column:
@@ -94,30 +90,92 @@ def copied(frame: DataFrame) -> Column:
     return (response != "") & (name != "") & (((F.length(rest) <= 1) & (F.contains(response, name) | F.contains(response, signature))) | begun)
 
 
-def openings(frame: DataFrame) -> DataFrame:
-    """Adds ``opening`` (first words, what the prompt gives masked), its ``shingles`` and MinHash ``signature_hash``."""
-    given = F.col("_given")
-    stems = F.transform(given, lambda w: F.concat(w, F.lit("s")))
-    masked = F.transform(F.slice("_words", 1, OPENING_WORDS), lambda w: F.when(F.array_contains(given, w) & ~w.isin(*FUNCTION_WORDS), "_").when(F.array_contains(stems, w) | F.array_contains(F.transform(given, lambda g: F.concat(g, F.lit("es"))), w), "_").otherwise(w))
+def near(words: Column) -> Column:
+    """The words and their plurals."""
+    return F.concat(words, F.transform(words, lambda w: F.concat(w, F.lit("s"))), F.transform(words, lambda w: F.concat(w, F.lit("es"))))
+
+
+def name_words(frame: DataFrame) -> Column:
+    """The words of a qualified name, whole and taken apart."""
+    name = F.coalesce("qualified_name", F.lit(""))
+    apart = F.regexp_replace(F.regexp_replace(name, r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})", " "), r"[_.:]+", " ")
+    return F.filter(F.array_distinct(F.concat(words_of(apart), words_of(name))), lambda w: w != "")
+
+
+def masked(frame: DataFrame) -> DataFrame:
+    """Adds ``_masked``, the first words of a response: ``#`` for the prompt's kind, ``@`` for its name whole, quoted or plainly an identifier, ``_`` for other words of the name.
+
+    Words of English that carry no content stay. A leading clause of up to four words before a comma or dash is passed
+    over, so that the same answer is one template whatever it begins with.
+    """
+    told = F.regexp_replace(F.lower("summary"), LEAD, "")
+    for column in ("qualified_name", "name"):
+        name = F.lower(F.coalesce(column, F.lit("")))
+        for quote in ("`", "'", '"'):
+            told = F.when(name != "", F.replace(told, F.concat(F.lit(quote), name, F.lit(quote)), F.lit(" 0name0 "))).otherwise(told)
+    kind = F.lower(F.coalesce("kind", F.lit("")))
+    words = F.slice(F.filter(words_of(told), lambda w: w != ""), 1, PASSAGE_WORDS)
+    mark = lambda w: (
+        F.when((w == "0name0") | (w == F.col("_identifier")), "@").when((kind != "") & w.isin(kind, F.concat(kind, F.lit("s")), F.concat(kind, F.lit("es"))), "#")
+        .when(F.array_contains("_named", w) & ~w.isin(*FUNCTION_WORDS), "_").otherwise(w)
+    )
+    identifier = F.when(F.col("name").rlike(r"[\d_]|\p{Ll}\p{Lu}"), F.lower("name"))
+    return frame.withColumn("_identifier", F.coalesce(identifier, F.lit(""))).withColumn("_masked", F.transform(words, mark)).drop("_identifier")
+
+
+def templates(held: DataFrame) -> DataFrame:
+    """(opening, prompts): the openings of refusals.
+
+    They recur over prompts of different names, and of different kinds unless the speaker means themselves; no response
+    mentions a part of its own prompt's name, and no word of theirs is one that several names of the corpus have, for a
+    description speaks of what the corpus is about, though it be of another symbol. Only responses that end in a full
+    stop make a template, as descriptions that break off soon are alike too. Counted in two steps, so that a template
+    with a third of all responses stays small; only what recurs is looked up among the names.
+    """
+    apart = held.where("_simple IS NULL AND finish = 'full' AND NOT _mentions").where(~F.coalesce(F.col("_foreign") > foreign_margin(), F.lit(False)) & (F.size("_content") >= LEAST_CONTENT))
+    counted = apart.groupBy("opening", "_content").agg(*[f(c).alias(f"{n}_{c}") for c in ("kind", "_asked") for n, f in (("least", F.min), ("most", F.max))])
+    spread = (F.col("least__asked") != F.col("most__asked")) & ((F.col("least_kind") != F.col("most_kind")) | F.arrays_overlap(F.split("opening", " "), F.array(*[F.lit(w) for w in FIRST_PERSON])))
+    recurring = materialise(counted.where(spread).select("opening", "_content"), "recurring")
+    word = F.col("word")
+    forms = F.array(word, F.regexp_replace(word, "s$", ""), F.regexp_replace(word, "es$", ""), F.regexp_replace(word, "ies$", "y"))
+    said = recurring.select("opening", F.explode("_content").alias("word")).select("opening", F.explode(F.array_distinct(forms)).alias("word"))
+    wanted = materialise(said.select("word").distinct(), "wanted")
+    small = small_enough(wanted)
+    named = held.select(F.explode("_own_words").alias("word")).join(small if small is not None else wanted, "word", "left_semi").groupBy("word").count().where(F.col("count") >= KNOWN)
+    telling = said.join(named, "word", "left_semi").select("opening").distinct()
+    kept = materialise(recurring.join(telling, "opening", "left_anti").select("opening"), "templates")
+    few = small_enough(kept)
+    return apart.join(few if few is not None else kept, "opening", "left_semi").groupBy("opening").agg(F.countDistinct("_asked").alias("prompts"))
+
+
+def passages(frame: DataFrame) -> DataFrame:
+    """(passage, shingles, bands): the distinct passages with their five-word shingles and MinHash bands."""
     count = F.size("_masked")
     shingles = F.when(
-        count >= SHINGLE,
-        F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), count - SHINGLE + 1), lambda i: F.array_join(F.slice("_masked", i, SHINGLE), " ")))),
+        count >= SHINGLE, F.array_distinct(F.transform(F.sequence(F.lit(1), count - SHINGLE + 1), lambda i: F.array_join(F.slice("_masked", i, SHINGLE), " ")))
     ).otherwise(F.array(F.array_join("_masked", " ")))
-    minima = F.array(*[F.array_min(F.transform("shingles", lambda s, k=k: F.xxhash64(F.lit(k), s))) for k in range(HASHES)])
-    return frame.withColumn("_masked", masked).withColumn("opening", F.array_join("_masked", " ")).withColumn("shingles", shingles).withColumn("signature_hash", F.xxhash64(minima))
+    minimum = lambda k: F.array_min(F.transform("shingles", lambda s: F.xxhash64(F.lit(k), s)))
+    bands = F.array(*[F.xxhash64(F.lit(b), *[minimum(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    return frame.groupBy("_masked").agg(F.first("opening").alias("opening")).withColumn("shingles", shingles).withColumn("bands", bands)
+
 
+def similar(a: Column, b: Column) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
-def opening_clusters(frame: DataFrame) -> DataFrame:
-    """(signature_hash, shingles, template, responses, prompts): the clusters of openings.
 
-    Openings have at most eight words, so at most four shingles, and two such sets are similar to 0.8 only if they are
-    equal. One band of all MinHash rows therefore loses no link, and the shingles themselves, compared within a
-    bucket, verify it. Counted in two steps, so that a template with a third of all responses stays small.
+def variants(held: DataFrame, refusals: DataFrame) -> DataFrame:
+    """(_masked, variant_of): passages without a template of their own at a similarity of 0.8 to a refusal's passage.
+
+    Candidates share a band; each is compared with the shingles themselves. Equal passages are one row, and only
+    passages that mention nothing of their own name take part.
     """
-    return frame.groupBy("signature_hash", "shingles").agg(
-        F.min("opening").alias("template"), F.count(F.lit(1)).alias("responses"), F.countDistinct(F.xxhash64("repo", "qualified_name")).alias("prompts")
-    )
+    open_ = held.where("_simple IS NULL AND NOT _mentions_any").where(~F.coalesce(F.col("_foreign") > foreign_margin(), F.lit(False)) & (F.size("_masked") > 0))
+    all_ = materialise(passages(open_), "passages")
+    known = materialise(all_.join(refusals.select("opening"), "opening", "left_semi").select("opening", F.col("shingles").alias("_theirs"), F.explode("bands").alias("band")), "known")
+    small = small_enough(known)
+    others = all_.join(refusals.select("opening"), "opening", "left_anti").select("_masked", "shingles", F.explode("bands").alias("band"))
+    met = others.join(small if small is not None else known, "band").where(similar(F.col("shingles"), F.col("_theirs")) >= SIMILAR)
+    return met.groupBy("_masked").agg(F.min("opening").alias("variant_of"))
 
 
 # -- language
@@ -225,24 +283,6 @@ def known_endings(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames, words.select("last_word", F.lit(True).alias("known_word"))
 
 
-def silent_templates(held: DataFrame) -> DataFrame:
-    """(_words, met): whole responses that decline without a known phrase.
-
-    They recur over unrelated kinds, names and signatures, share no word of content with their prompts, and say none
-    that several prompts of the corpus give: a description speaks of what the corpus is about, though it be of another
-    symbol. Only what recurs is looked up among the words of the prompts.
-    """
-    apart = held.where("_simple IS NULL AND _apart AND finish IN ('full', 'word')").where(~F.coalesce(F.col("_foreign") > foreign_margin(), F.lit(False)) & (F.size("_content") >= LEAST_CONTENT))
-    counted = apart.groupBy("_words", "_content").agg(F.countDistinct("kind").alias("kinds"), F.countDistinct("qualified_name").alias("met"), F.countDistinct("_asked").alias("asked"))
-    recurring = materialise(counted.where((F.col("kinds") >= UNRELATED_KINDS) & (F.col("met") >= UNRELATED_NAMES) & (F.col("asked") >= UNRELATED_NAMES)).select("_words", "_content", "met"), "recurring")
-    word = F.col("word")
-    forms = F.array(word, F.regexp_replace(word, "s$", ""), F.regexp_replace(word, "es$", ""), F.regexp_replace(word, "ies$", "y"))
-    said = recurring.select("_words", F.explode("_content").alias("word")).select("_words", F.explode(F.array_distinct(forms)).alias("word"))
-    wanted = said.select("word").distinct()
-    given = held.select(F.explode("_given").alias("word")).join(wanted, "word", "left_semi").groupBy("word").count().where(F.col("count") >= KNOWN)
-    return recurring.join(said.join(given, "word", "left_semi").select("_words").distinct(), "_words", "left_anti").select("_words", "met")
-
-
 def join_small(frame: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """Left join with a written table: broadcast if it is small, by shuffle with skew handling otherwise."""
     side = materialise(side, "side")
@@ -263,31 +303,28 @@ def judged(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     base = base.withColumn("_words", F.filter(words_of(F.col("summary")), lambda w: w != "")).withColumn("_given", prompt_words(base))
     bare = squeezed(F.col("summary"))
     simple = F.when((bare == "") | bare.isin(*PLACEHOLDERS) | bare.rlike(r"^\d{1,3}$"), "empty").when(copied(base), "copy")
-    scored = openings(base).withColumn("_simple", simple).withColumn("_foreign", foreign(model)("summary"))
-    content = F.filter("_words", lambda w: ~w.isin(*FUNCTION_WORDS))
-    near = F.concat("_given", F.transform("_given", lambda w: F.concat(w, F.lit("s"))), F.transform("_given", lambda w: F.concat(w, F.lit("es"))))
+    base = base.withColumn("_own_words", name_words(base)).withColumn("_named", near(F.col("_own_words")))
+    scored = masked(base).withColumn("_simple", simple).withColumn("_foreign", foreign(model)("summary"))
+    head = F.slice("_masked", 1, OPENING_WORDS)
     lean = termination(scored).select(
-        "repo", "id", "qualified_name", "signature_hash", "shingles", "opening", "_simple", "_foreign", "finish", "last_word", "frame", "_words",
-        "kind", "_given", F.xxhash64("signature").alias("_asked"), content.alias("_content"), (~F.arrays_overlap(content, near)).alias("_apart"),
-        F.array_contains("_given", F.col("last_word")).alias("_own"), F.lower("summary").rlike(INABILITY).alias("_declines"),
+        "repo", "id", "kind", "_own_words", "_masked", "_simple", "_foreign", "finish", "last_word", "frame", "_words",
+        F.xxhash64("qualified_name").alias("_asked"), F.array_join(head, " ").alias("opening"), F.array_contains(head, "_").alias("_mentions"), F.array_contains("_masked", "_").alias("_mentions_any"),
+        F.filter(head, lambda w: ~w.isin("#", "@", "_", *FUNCTION_WORDS) & (F.length(w) > 1)).alias("_content"), F.array_contains("_given", F.col("last_word")).alias("_own"),
     )
     held = materialise(lean, "responses")
-    clusters = opening_clusters(held.where("_simple IS NULL"))
-    declining = held.where("_simple IS NULL AND _declines").groupBy("signature_hash", "shingles").agg(F.count(F.lit(1)).alias("declining"))
-    # a template is a refusal if most of its responses decline; one that only ever met one prompt counts too if its text declines
-    refusals = clusters.join(declining, ["signature_hash", "shingles"]).where(F.col("declining") * 2 > F.col("responses")).select("signature_hash", "shingles", "template", "prompts")
+    refusals = materialise(templates(held), "refusals")
     frames, words = known_endings(held.where("_simple IS NULL"))
-    joined = join_small(held, refusals, ["signature_hash", "shingles"])
+    joined = join_small(held, refusals, ["opening"])
     joined = join_small(join_small(joined, frames, ["frame"]), words, ["last_word"])
-    joined = join_small(joined, silent_templates(held), ["_words"]).withColumn("template", F.coalesce("template", F.when(F.col("met").isNotNull(), F.array_join("_words", " ")))).withColumn("prompts", F.coalesce("prompts", "met"))
-    recurs = F.col("met").isNotNull() | F.col("template").isNotNull() & ((F.col("prompts") >= UNRELATED_PROMPTS) | F.col("_declines"))
+    joined = join_small(joined, variants(held, refusals), ["_masked"])
+    joined = joined.withColumn("template", F.when(F.col("prompts").isNotNull(), F.col("opening")).otherwise(F.col("variant_of")))
     broken = (F.col("finish") == "ellipsis") | (F.col("finish") == "open") | (
         (F.col("finish") == "word") & (F.coalesce(~F.col("known_frame"), F.lit(True)) | (F.coalesce(~F.col("known_word"), F.lit(True)) & ~F.coalesce("_own", F.lit(False))))
     )
     defect = (
         F.when(F.col("_simple").isNotNull(), F.col("_simple"))
         .when(F.col("_foreign") > foreign_margin(), "wrong_language")
-        .when(recurs, "refusal")
+        .when(F.col("template").isNotNull(), "refusal")
         .when(broken, "truncated")
     )
     return joined.select("repo", "id", defect.alias("defect"), "template", "prompts")
@@ -304,7 +341,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """The recurring templates of refusals with their numbers of responses."""
+    """The templates of refusals with the prompts that they met as they stand, and the responses, variants included."""
     symbols = current_symbols(spark, folder, ["kind", "name", "qualified_name", "signature", "summary"])
     found = judged(symbols, table(spark, folder, "documents")).where("defect = 'refusal'")
     return found.groupBy("template").agg(F.max("prompts").alias("prompts"), F.count(F.lit(1)).alias("responses"))

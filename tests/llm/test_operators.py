@@ -267,5 +267,46 @@ def test_deep_nesting_is_read_in_a_fresh_worker(extension):
     done = subprocess.run([sys.executable, "-c", code, str(root), extension], input=nested(extension, 10_000), capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() == "1 []", done.stderr[-300:]
     assert time.perf_counter() - began < 20
-    done = subprocess.run([sys.executable, "-c", code, str(root), extension], input=nested(extension, 200_000), capture_output=True, text=True, timeout=60)
+    done = subprocess.run([sys.executable, "-c", code, str(root), extension], input=nested(extension, 60_000), capture_output=True, text=True, timeout=60)
     assert done.stdout.strip() in ("0 None", "1 None", "1 []"), (done.stdout[:100], done.stderr[-300:])
+
+
+def test_refusals_come_from_recurrence_not_from_phrases(spark):
+    """Wording that no list knows is found by recurrence; a declining phrase that one prompt got is none; variants of a template count."""
+    noun = ["tree", "path", "cache", "row", "file", "ledger", "query", "token"]
+    kinds = ["function", "class", "method"]
+    tail = "for reasons that were explained at length during an earlier exchange between both parties on record"
+    rows = [(f"u{i}", kinds[i % 3], f"u_{n}", f"u_{n}(x)", f"Nothing of substance is disclosed here {tail}.", "refusal") for i, n in enumerate(noun)]
+    rows += [("v0", "class", "v_one", "v()", f"Little of substance is disclosed here {tail}.", "refusal"), ("o0", "class", "once", "once(x)", "I am sorry, but I cannot describe this class.", None)]
+    rows += [(f"g{i}", kinds[i % 3], f"g_{n}", f"g_{n}(x)", f"Holds one {n} for the given owner.", None) for i, n in enumerate(noun)]
+    df = spark.createDataFrame([("o/r", i, k, n, n, g, s) for i, k, n, g, s, _ in rows], "repo string, id string, kind string, name string, qualified_name string, signature string, summary string")
+    documents = spark.createDataFrame([], "doc_id long, text string, lang string")
+    got = {r["id"]: (r["defect"], r["template"]) for r in answers.judged(df, documents).collect()}
+    assert {i: d for i, (d, _) in got.items()} == {r[0]: r[5] for r in rows}
+    assert got["v0"][1] == got["u0"][1]
+
+
+def test_variants_lose_no_link_that_exact_pairs_have(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randrange(6, 24))] for _ in range(60)]
+    rows = [(i, words, f"t{i}") for i, words in enumerate(base)]
+    for i, words in enumerate(base):
+        for k in range(12):
+            other = list(words)
+            if k % 3 == 0:
+                other = other[: max(5, len(other) - rng.randrange(1, 4))]
+            elif k % 3 == 1:
+                other = (other + [rng.choice(vocabulary) for _ in range(rng.randrange(1, 3))])[:24]
+            else:
+                other[rng.choice([0, -1])] = rng.choice(vocabulary)
+            rows.append((1000 + 100 * i + k, other, f"o{i}.{k}"))
+    df = spark.createDataFrame([(i, w, o) for i, w, o in rows], "id long, _masked array<string>, opening string").withColumns(
+        {"_simple": F.lit(None).cast("string"), "_mentions_any": F.lit(False), "_foreign": F.lit(None).cast("double")}
+    )
+    refusals = spark.createDataFrame([(f"t{i}",) for i in range(60)], "opening string")
+    found = {tuple(r["_masked"]) for r in answers.variants(df, refusals).collect()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    known = [grams(w) for w in base]
+    wanted = {tuple(w) for i, w, _ in rows if i >= 1000 and tuple(w) not in {tuple(b) for b in base} and any(len(g & grams(w)) / len(g | grams(w)) >= 0.8 for g in known)}
+    assert found <= wanted and len(wanted) > 100 and len(found) >= 0.9 * len(wanted), (len(found), len(wanted))
