@@ -1,8 +1,9 @@
 """Generated, minified or vendored source files (problem 5).
 
-Merkle hashes go bottom-up over the directory trees of all repositories; leaves hash the words of a file without
-comments and layout, so that reformatting changes nothing. Subtrees shared across unrelated repositories mark vendored
-code, five-word shingles find edited copies of known libraries, header and layout rules find what tools wrote.
+Merkle hashes go bottom-up over the directory trees of all repositories and of the known libraries; leaves hash the
+words of a file without comments and layout, so that reformatting changes nothing, and an edited copy, known by its
+five-word shingles, takes the leaf of the library's file. Subtrees shared across unrelated owners mark vendored code,
+header and layout rules find what tools wrote.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from symbolith.sources.tables import materialise, table
 
 #: Words in a shingle, and the share of a file's shingles that makes it a copy.
 SHINGLE, COPIED_SHARE = 5, 0.8
-#: Files and subtrees with fewer words say nothing about who copied whom.
+#: Files and subtrees with fewer words say nothing about who copied whom: error pages, stubs and empty packages are alike everywhere.
 LEAST_WORDS = 40
-#: So many library shingles may be broadcast; above that they are joined.
-BROADCAST_SHINGLES = 2_000_000
+#: So many library shingles may be broadcast (about 100 MB in a Python worker); above that they are joined.
+BROADCAST_SHINGLES = 500_000
 
 #: Directories that hold other projects' code, and those that hold what tools wrote.
 VENDORED_FOLDERS = "vendor vendored vendors third_party thirdparty third-party 3rdparty 3rd_party node_modules bower_components jspm_packages extern externs external externals deps _vendor _vendored godeps pods carthage site-packages contrib_vendor subprojects".split()
@@ -39,7 +40,7 @@ _SAID = re.compile(
     re.I | re.M,
 )
 _COPIED = re.compile(r"^\W*(?:copied|vendored|taken|imported|forked|ported|adapted|borrowed|mirrored|lifted)(?: verbatim)? from\b.*(?:\d|project|upstream|https?:|licen[cs]e|terms)|\b(?:this (?:file|code) (?:is|was) (?:copied|vendored|taken)|vendored copy of|upstream (?:project|source):)", re.I | re.M)
-_DENIED = re.compile(r"kept by hand|not generated|hand-?written|edit\b[^.;\n]*\bfreely|\bgenerators? (?:emits?|writes?|produces?)|sampler|for example|e\.g\.", re.I)
+_DENIED = re.compile(r"\b(?:kept|maintained|written|edited) by hand|\bnot (?:auto-?)?generated|hand-?written|edit\b[^.;\n]*\bfreely|\bgenerators? (?:emits?|writes?|produces?)", re.I)
 _COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`")
 _HASH = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*")
 _WORD = re.compile(r"\w+")
@@ -129,26 +130,50 @@ TRAITS = T.StructType(
         T.StructField("minified", T.BooleanType()),
         T.StructField("data", T.BooleanType()),
         T.StructField("shares", T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField("closest", T.LongType()),
     ]
 )
 
 
-def traits_of(text: str, extension: str, known: dict[int, tuple[str, ...]]) -> tuple:
+def leaf_of(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(words)) - (1 << 63)
+
+
+def traits_of(text: str, extension: str, known: dict[int, tuple[tuple[str, int], ...]]) -> tuple:
     comments, code = comments_and_code(text, extension)
     words = _WORD.findall(code)
-    shares: dict[str, int] = {}
+    files: dict[tuple[str, int], int] = {}
+    projects: dict[str, int] = {}
     own = set(shingles(words))
     for s in own:
-        for project in known.get(s, ()):
-            shares[project] = shares.get(project, 0) + 1
-    leaf = xxhash.xxh64_intdigest("\x00".join(words)) - (1 << 63)
-    return leaf, len(words), says_generated(comments), minified(code), mostly_data(code), {p: n / len(own) for p, n in shares.items() if n >= 0.3 * len(own)}
+        held = known.get(s, ())
+        for file in held:
+            files[file] = files.get(file, 0) + 1
+        for project in {p for p, _ in held}:
+            projects[project] = projects.get(project, 0) + 1
+    shares = {p: n / len(own) for p, n in projects.items() if n >= 0.3 * len(own)}
+    closest = max(((n, leaf) for (p, leaf), n in files.items() if shares.get(p, 0) >= COPIED_SHARE), default=(0, None))[1]
+    return leaf_of(words), len(words), says_generated(comments), minified(code), mostly_data(code), shares, closest
 
 
-def library_shingles(libraries: DataFrame) -> DataFrame:
-    """(shingle, project) of every library file."""
+@F.pandas_udf(T.StructType([T.StructField("leaf", T.LongType()), T.StructField("words", T.LongType())]))
+def text_leaf(texts: pd.Series, extensions: pd.Series) -> pd.DataFrame:
+    words = [_WORD.findall(comments_and_code(t or "", e or "")[1]) for t, e in zip(texts, extensions)]
+    return pd.DataFrame({"leaf": [leaf_of(w) for w in words], "words": [len(w) for w in words]})
+
+
+def library_leaves(libraries: DataFrame) -> DataFrame:
+    """(project, home, file_name, lib_version, leaf, words) of every library file."""
+    read = libraries.where("content IS NOT NULL AND project IS NOT NULL").select(
+        "project", F.col("origin_repo").alias("home"), "file_name", "lib_version", text_leaf("content", extension_of(F.col("file_name"))).alias("t")
+    )
+    return read.select("project", "home", "file_name", "lib_version", "t.leaf", "t.words")
 
-    found = libraries.where("content IS NOT NULL").select("project", F.explode(text_shingles("content", extension_of(F.col("file_name")))).alias("shingle"))
+
+def library_shingles(libraries: DataFrame) -> DataFrame:
+    """(shingle, project, leaf) of every library file."""
+    extension = extension_of(F.col("file_name"))
+    found = libraries.where("content IS NOT NULL").select("project", text_leaf("content", extension)["leaf"].alias("leaf"), F.explode(text_shingles("content", extension)).alias("shingle"))
     return found.distinct()
 
 
@@ -158,53 +183,72 @@ def text_shingles(texts: pd.Series, extensions: pd.Series) -> pd.Series:
 
 
 def shares_by_join(files: DataFrame, grams: DataFrame) -> DataFrame:
-    """(file_id, shares): the share of each file's shingles that each project has, where the projects' are too many to broadcast."""
+    """(file_id, shares, closest): the share of each file's shingles that each project has, and the leaf of the closest file of
+    a project with enough of them, where the projects' are too many to broadcast."""
     own = files.groupBy("file_id").agg(F.max_by(F.struct("rel_path", "content"), F.struct("fetched_at", "rel_path")).alias("f"))
     held = own.select("file_id", text_shingles("f.content", extension_of(F.col("f.rel_path"))).alias("own")).select("file_id", F.size("own").alias("size"), F.explode("own").alias("shingle"))
-    counted = held.join(grams, "shingle").groupBy("file_id", "project", "size").count().where(F.col("count") >= 0.3 * F.col("size"))
-    return counted.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("project", F.col("count") / F.col("size")))).alias("shares"))
+    joined = held.join(grams, "shingle")
+    by_file = joined.groupBy("file_id", "project", "leaf", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("file_id", "project", "size").agg(F.max(F.struct("n", "leaf")).alias("best"))
+    whole = joined.select("file_id", "project", "size", "shingle").distinct().groupBy("file_id", "project", "size").count().where(F.col("count") >= 0.3 * F.col("size"))
+    counted = whole.join(by_file, ["file_id", "project", "size"]).withColumn("share", F.col("count") / F.col("size"))
+    return counted.groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("project", "share"))).alias("shares"), F.max(F.when(F.col("share") >= COPIED_SHARE, F.col("best")))["leaf"].alias("closest")
+    )
 
 
 def traits(files: DataFrame, libraries: DataFrame) -> DataFrame:
     """Adds the traits of each file's text (see TRAITS); a null text has none."""
     spark = files.sparkSession
     grams = materialise(library_shingles(libraries), "library")
-    known: dict[int, tuple[str, ...]] = {}
+    known: dict[int, tuple[tuple[str, int], ...]] = {}
     few = grams.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
     for row in grams.collect() if few else []:
-        known[row["shingle"]] = (*known.get(row["shingle"], ()), row["project"])
+        known[row["shingle"]] = (*known.get(row["shingle"], ()), (row["project"], row["leaf"]))
     shared = spark.sparkContext.broadcast(known)
 
     @F.pandas_udf(TRAITS)
     def judge(texts: pd.Series, extensions: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, False, False, False, {}) if t is None else traits_of(t, e or "", shared.value) for t, e in zip(texts, extensions)]
-        return pd.DataFrame(rows, columns=[f.name for f in TRAITS.fields])
+        rows = [(None, 0, False, False, False, {}, None) if t is None else traits_of(t, e or "", shared.value) for t, e in zip(texts, extensions)]
+        # hashes need all their bits: columns with nulls would become floating point numbers
+        return pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype="Int64" if f.dataType == T.LongType() else object) for i, f in enumerate(TRAITS.fields)})
 
     judged = files.withColumn("t", judge.asNondeterministic()("content", extension_of(F.col("rel_path"))))
     if few:
         return judged
     joined = judged.join(shares_by_join(files, grams), "file_id", "left")
-    return joined.withColumn("t", F.col("t").withField("shares", F.coalesce("shares", F.create_map().cast("map<string,double>")))).drop("shares")
+    full = F.col("t").withField("shares", F.coalesce("shares", F.create_map().cast("map<string,double>"))).withField("closest", F.col("closest"))
+    return joined.withColumn("t", full).drop("shares", "closest")
 
 
 def merkle(leaves: DataFrame) -> DataFrame:
-    """(repo, path, kind, hash, words, fetched_at) of all files and directories, bottom-up, one aggregation a level.
+    """(repo, path, kind, hash, words, fetched_at, owner, home) of all files and directories, bottom-up, one aggregation a level.
 
-    ``leaves`` has (repo, path, leaf, words, fetched_at). A directory's hash is made of its children's hashes whatever their names and order, by
-    sums that combine before the shuffle, so that a directory of any size is no hot group.
+    ``leaves`` has (repo, path, leaf, words, fetched_at), and may have owner and home, the repository where the leaf is
+    known to be maintained; a directory has a home if all its leaves have the same. A directory's hash is made of its
+    children's hashes whatever their names and order, by sums that combine before the shuffle, so that a directory of any
+    size is no hot group.
     """
-    level = leaves.select("repo", "path", F.lit("file").alias("kind"), F.col("leaf").alias("hash"), F.col("words").cast("long").alias("words"), "fetched_at", F.size(F.split("path", "/")).alias("depth"))
+    owner = F.col("owner") if "owner" in leaves.columns else F.split_part("repo", F.lit("/"), F.lit(1))
+    home = F.col("home") if "home" in leaves.columns else F.lit(None).cast("string")
+    level = leaves.select(
+        "repo", "path", F.lit("file").alias("kind"), F.col("leaf").alias("hash"), F.col("words").cast("long").alias("words"), "fetched_at", F.size(F.split("path", "/")).alias("depth"),
+        owner.alias("owner"), home.alias("home"),
+    )
     level = materialise(level, "leaves")
     deepest = level.agg(F.max("depth").alias("d")).first()["d"] or 0
     done, rising = [level], level.where(F.col("depth") == deepest)
     for depth in range(deepest, 1, -1):
         parents = rising.groupBy("repo", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).agg(
             F.sum(F.xxhash64("hash", F.lit(1)).cast("decimal(38,0)")).alias("_a"), F.bit_xor(F.xxhash64("hash", F.lit(2))).alias("_b"), F.count(F.lit(1)).alias("_n"),
-            F.sum("words").alias("words"), F.min("fetched_at").alias("fetched_at"),
+            F.sum("words").alias("words"), F.min("fetched_at").alias("fetched_at"), F.max("owner").alias("owner"), F.min("home").alias("_least"), F.max("home").alias("_most"), F.count("home").alias("_homes"),
         )
+        one = (F.col("_homes") == F.col("_n")) & (F.col("_least") == F.col("_most"))
         folders = materialise(
-            parents.select("repo", "path", F.lit("folder").alias("kind"), F.xxhash64("_a", "_b", "_n").alias("hash"), "words", "fetched_at", F.lit(depth - 1).alias("depth")), "folders"
-        )
+            parents.select(
+                "repo", "path", F.lit("folder").alias("kind"), F.xxhash64("_a", "_b", "_n").alias("hash"), "words", "fetched_at", F.lit(depth - 1).alias("depth"), "owner", F.when(one, F.col("_most")).alias("home"),
+            ),
+            "folders",
+        )
         done.append(folders)
         rising = folders.unionByName(level.where(F.col("depth") == depth - 1))
     out = done[0]
@@ -214,15 +258,15 @@ def merkle(leaves: DataFrame) -> DataFrame:
 
 
 def shared_subtrees(trees: DataFrame) -> DataFrame:
-    """(hash, repos, first_repo) of files and subtrees that repositories of different owners hold.
+    """(hash, repos, kept_at) of files and subtrees that repositories of different owners hold.
 
-    ``first_repo`` is where the subtree was fetched first; it counts as the place where it is maintained unless a
-    library says otherwise.
+    ``kept_at`` is where the subtree is maintained: the home of the library whose it is, else the repository it was
+    fetched from first.
     """
-    known = trees.where((F.col("words") >= LEAST_WORDS) & F.col("hash").isNotNull()).groupBy("hash", "repo").agg(F.min("fetched_at").alias("fetched_at"))
-    owner = F.split_part("repo", F.lit("/"), F.lit(1))
-    spread = known.groupBy("hash").agg(F.countDistinct(owner).alias("owners"), F.count(F.lit(1)).alias("repos"), F.min_by("repo", F.struct("fetched_at", "repo")).alias("first_repo"))
-    return spread.where("owners > 1").select("hash", "repos", "first_repo")
+    known = trees.where((F.col("words") >= LEAST_WORDS) & F.col("hash").isNotNull()).groupBy("hash", "repo", "owner").agg(F.min("fetched_at").alias("fetched_at"), F.max("home").alias("home"))
+    first = F.min_by("repo", F.when(F.col("fetched_at").isNotNull(), F.struct("fetched_at", "repo")))
+    spread = known.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.count(F.lit(1)).alias("repos"), F.coalesce(F.max("home"), first).alias("kept_at"))
+    return spread.where("owners > 1").select("hash", "repos", "kept_at")
 
 
 def in_folder(path: Column, names: list[str]) -> Column:
@@ -231,37 +275,44 @@ def in_folder(path: Column, names: list[str]) -> Column:
 
 
 def origins(source_files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(file_id, repo, rel_path, generated, minified, copied, data, project) of every file.
+    """(file_id, repo, rel_path, generated, minified, copied, data, by_tree, by_place, project) of every file.
 
-    Files fetched twice give one row; rows without file_id are left out; null texts are judged by their path alone. The
-    place of a file or a statement in it about itself is enough. A library's files in its own repository aren't copies.
+    ``copied`` is ``by_tree``, in a subtree that is maintained in another repository, or ``by_place``, in a folder for
+    other projects' code. Files fetched twice give one row; rows without file_id are left out; null texts are judged by
+    their path alone. A library's files in its own repository aren't copies.
     """
     columns = ["file_id", "repo", "rel_path", "fetched_at", "content"]
     judged = traits(source_files.select(*columns).where("file_id IS NOT NULL"), libraries).drop("content")
     last = judged.groupBy("file_id").agg(F.max_by(F.struct("repo", "rel_path", "fetched_at", "t"), F.struct("fetched_at", "rel_path")).alias("f"))
     flat = last.select("file_id", "f.repo", "f.rel_path", "f.fetched_at", plain_path(F.coalesce("f.rel_path", F.lit(""))).alias("path"), "f.t.*")
     files = materialise(flat, "files")
-    trees = merkle(files.select("repo", "path", "leaf", "words", "fetched_at"))
+    known = materialise(library_leaves(libraries), "libraries")
+    # one row for each leaf of a library
+    homes = known.groupBy(F.col("leaf").alias("closest")).agg(F.min("project").alias("project"), F.min_by("home", "project").alias("home"))
+    homed = files.join(F.broadcast(homes) if homes.limit(100_001).count() <= 100_000 else homes, "closest", "left")
+    leaves = homed.select("repo", "path", F.coalesce("closest", "leaf").alias("leaf"), "words", "fetched_at", F.split_part("repo", F.lit("/"), F.lit(1)).alias("owner"), "home")
+    shelves = known.select(
+        F.concat(F.lit("library:"), "project", F.lit("@"), F.coalesce("lib_version", F.lit(""))).alias("repo"), F.concat(F.lit("files/"), "file_name").alias("path"), "leaf", F.col("words").cast("int").alias("words"),
+        F.lit(None).cast(dict(files.dtypes)["fetched_at"]).alias("fetched_at"), F.coalesce(F.split_part("home", F.lit("/"), F.lit(1)), F.concat(F.lit("library:"), "project")).alias("owner"), F.coalesce("home", F.concat(F.lit("library:"), "project")).alias("home"),
+    )
+    trees = merkle(leaves.unionByName(shelves))
     shared = materialise(shared_subtrees(trees), "shared")
     # every file below a shared subtree, and every shared file
-    marked = trees.where("hash IS NOT NULL").join(shared, "hash").select("repo", F.col("path").alias("marked"), "first_repo")
+    marked = trees.where("hash IS NOT NULL").join(shared, "hash").where("repo <> kept_at").select("repo", F.col("path").alias("marked")).distinct()
     prefixes = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split(F.col("path"), "/"), 1, i), "/"))
     below = files.select("file_id", "repo", F.explode(prefixes).alias("marked")).join(marked, ["repo", "marked"])
-    shared_files = below.groupBy("file_id").agg(F.min("first_repo").alias("first_repo"))
-    homes = libraries.where("project IS NOT NULL").groupBy("project").agg(F.max("origin_repo").alias("home"))
-    best = F.try_element_at(F.array_sort(F.filter(F.map_entries("shares"), lambda e: e["value"] >= COPIED_SHARE), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1)), F.lit(1))
-    named = files.withColumn("project", best["key"]).join(shared_files, "file_id", "left").join(F.broadcast(homes) if homes.limit(100_001).count() <= 100_000 else homes, "project", "left")
+    named = homed.join(below.select("file_id", F.lit(True).alias("below")).distinct(), "file_id", "left")
     path = F.col("path")
     own = F.coalesce(F.col("home") == F.col("repo"), F.lit(False))
-    library = F.col("project").isNotNull() & ~own
-    moved = F.col("first_repo").isNotNull() & (F.col("first_repo") != F.col("repo")) & F.col("project").isNull()
+    by_tree = F.coalesce("below", F.lit(False)) & ~own
+    by_place = in_folder(path, VENDORED_FOLDERS)
     return named.select(
         "file_id", "repo", "rel_path",
         (F.coalesce("generated", F.lit(False)) | path.rlike(GENERATED_NAME) | in_folder(path, GENERATED_FOLDERS)).alias("generated"),
         F.coalesce("minified", F.lit(False)).alias("minified"),
-        (library | moved | in_folder(path, VENDORED_FOLDERS)).alias("copied"),
+        (by_tree | by_place).alias("copied"),
         F.coalesce("data", F.lit(False)).alias("data"),
-        "project",
+        by_tree.alias("by_tree"), by_place.alias("by_place"), "project",
     )
 
 
@@ -271,5 +322,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_origins(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file that isn't hand-written, with why."""
+    """Every file that isn't hand-written, with why, and by which rule a copy was found."""
     return origins(table(spark, folder, "source_files"), table(spark, folder, "library_files")).where("generated OR minified OR copied OR data")

@@ -93,6 +93,8 @@ def test_provenance(spark):
     reasons = {i: {k for k in ("generated", "minified", "copied", "data") if r[k]} for i, r in found.items()}
     assert {i for i, r in reasons.items() if r} == {2, 4, 5, 6, 8, 9, 14}, reasons
     assert found[2]["project"] == "lib" and reasons[2] == {"copied"} and reasons[9] == {"data"} and reasons[8] == {"minified"} and reasons[14] == {"copied"}
+    # shared subtrees alone decide these; a folder's name alone decides the other
+    assert {i for i, r in found.items() if r["by_tree"]} == {2, 14} and {i for i, r in found.items() if r["by_place"]} == {4}
     assert provenance.origins(sources(spark, rows).limit(0), libraries).count() == 0
     assert provenance.origins(sources(spark, rows[:3]), libraries.limit(0)).count() == 3
     grams = provenance.library_shingles(libraries)
