@@ -8,8 +8,10 @@ from __future__ import annotations
 from symbolith.llm.peg import Captures, Grammar
 
 #: Shared by the languages with braces. ``Head``, ``Mark`` (annotations), ``Odd`` (literals of the language) differ.
+#: ``Bare`` lines have no character that begins a comment, a literal or a directive.
 BRACES = r"""
-Unit     <- (Pair / Line)*
+Unit     <- (Bare / Pair / Line)*
+Bare     <- `(?:[^"'/\x60\#\n]*\n)+`
 Pair     <- BOL doc:Doc Gap Mark* head:Head
 BOL      <- `(?m:^)[ \t]*`
 Gap      <- `[ \t]*\r?\n[ \t]*`
@@ -19,8 +21,8 @@ Block    <- `/\*(?:[^*]|\*(?!/))*\*/`
 Line     <- BOL? (Odd / String / Block / LineDoc / Plain)* `\r?\n` / (Odd / String / Block / LineDoc / Plain)+ / `[\s\S]`
 String   <- `"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'`
 Space    <- (`\s+` / Block / LineDoc)*
-Round    <- "(" (Odd / String / Block / LineDoc / Round / `[^()"'/]` / `/`)* ")"
-Square   <- "[" (Odd / String / Block / LineDoc / Square / `[^\[\]"'/]` / `/`)* "]"
+Round    <- "(" (Odd / String / Block / LineDoc / Round / `[^()"'/$@\x60\#\n]++(?!/)|[^()"'/]` / `/`)* ")"
+Square   <- "[" (Odd / String / Block / LineDoc / Square / `[^\[\]"'/$@\x60\#\n]++(?!/)|[^\[\]"'/]` / `/`)* "]"
 Angle    <- "<" (String / Angle / Round / `=>|->` / `[^<>"'();{}]`)* ">"
 """
 
@@ -89,7 +91,7 @@ Head     <- `func\b\s*` (Round `\s*`)? name:`[^\W\d]\w*` Space Square? Round (`[
 )
 
 RUST = (
-    BRACES.replace("`[^()\"'/]`", "`[^()\"/]`").replace("`[^\\[\\]\"'/]`", "`[^\\[\\]\"/]`").replace("`[^<>\"'();{}]`", "`[^<>\"();{}]`").replace(r"`/\*(?:[^*]|\*(?!/))*\*/`", r'"/*" (`(?:[^*/]|\*(?!/)|/(?!\*))+` / Block)* "*/"').replace(
+    BRACES.replace("`[^()\"'/$@\\x60\\#\\n]++(?!/)|[^()\"'/]`", "`[^()\"/]`").replace("`[^\\[\\]\"'/$@\\x60\\#\\n]++(?!/)|[^\\[\\]\"'/]`", "`[^\\[\\]\"/]`").replace("`[^<>\"'();{}]`", "`[^<>\"();{}]`").replace(r"`/\*(?:[^*]|\*(?!/))*\*/`", r'"/*" (`(?:[^*/]|\*(?!/)|/(?!\*))+` / Block)* "*/"').replace(
         r"""|'(?:[^'\\\n]|\\[\s\S])*'`""", r"""|'(?:[^'\\\n]|\\(?:u\{\w+\}|x\w\w|.))'`"""
     )
     + r"""
@@ -114,7 +116,8 @@ Name     <- !Reserved `[^\W\d]\w*`
 )
 
 PYTHON = r"""
-Unit     <- (Pair / Head / Token)*
+Unit     <- (Bare / Pair / Head / Token)*
+Bare     <- `(?:(?![^"'\#\n]*\bdef\b)[^"'\#\n]*\n)+`
 Pair     <- head:(Head) Start doc:Doc &End
 Head     <- `\b(?:async\b[ \t]*)?def\b[ \t]*` name:`[^\W\d]\w*` Blank (Square Blank)? Round Blank (`->` (Round / Square / Curly / String / `[^:()\[\]{}"'\n]`)+)? ":"
 Start    <- `[ \t]*` (`(?:\#[^\n]*)?\r?\n[ \t\f]*`)*
@@ -125,7 +128,7 @@ Blank    <- `(?:[ \t]|\\\r?\n)*`
 Round    <- "(" Inside* ")"
 Square   <- "[" Inside* "]"
 Curly    <- "{" Inside* "}"
-Inside   <- String / Round / Square / Curly / Comment / `[^()\[\]{}"'\#]`
+Inside   <- String / Round / Square / Curly / Comment / `[^()\[\]{}"'\#]+`
 String   <- `[A-Za-z]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')`
 Comment  <- `\#[^\n]*`
 Token    <- `(?:(?!\b(?:async|def)\b)[^"'\#])+` / String / Comment / `[^\W\d]\w*` / `[\s\S]`
