@@ -134,7 +134,7 @@ SNIPPETS = {
     "m.cs": ("public class K\n{\n  private int F(int a)\n  {\n    return a;\n  }\n}\n", {("K", "class"), ("K.F", "method")}),
     "m.c": ('struct s { int a; };\n/* doc */\nint main(int argc) {\n  char *x = "}";\n  return 0;\n}\n', {("s", "type"), ("main", "function")}),
     "m.js": ("// é→\nfunction f(a) { return a; }\nconst g = (x) => x;\n", {("f", "function"), ("g", "function")}),
-    "m.php": ("<?php\nclass P { function m() { return 1; } }\n", {("P", "class"), ("P.m", "function")}),
+    "m.php": ("<?php\nclass P { function m() { return 1; } }\n", {("P", "class"), ("P.m", "method")}),
     "m.dart": ("class D {\n}\nenum E { a }\nmixin M {\n}\nint f(int a) {\n  return a;\n}\n", {("D", "class"), ("E", "type"), ("M", "class"), ("f", "function")}),
     "m.swift": ("func f() -> Int { return 1 }\nclass A {\n}\nstruct S {\n}\nprotocol P {\n}\n", {("f", "function"), ("A", "class"), ("S", "class"), ("P", "interface")}),
 }
@@ -256,6 +256,7 @@ def test_hierarchy_matches_brute_force(spark, shape):
         if r["path"]:
             assert [int(x) for x in r["path"]][-1] == r["id"] and len(r["path"]) == r["depth"] + 1
     assert got == brute_places(links)
+    counted = {r["id"]: r["descendants"] for r in hierarchy.hierarchy(rows, ["repo"], "id", "parent", count=True).collect()}
     pairs = {(int(r["id"]), int(r["descendant"])) for r in hierarchy.descendants(placed, ["repo"], "id").collect()}
     expected = set()
     for node, place in brute_places(links).items():
@@ -264,6 +265,8 @@ def test_hierarchy_matches_brute_force(spark, shape):
             at = links[at]
             expected.add((at, node))
     assert pairs == expected
+    ended = {i for i, place in brute_places(links).items() if not isinstance(place, str)}
+    assert counted == {i: sum(a == i for a, _ in expected) if i in ended else None for i in links}
 
 
 def test_snapshot_changes(spark):
