@@ -1,8 +1,9 @@
 """From file rows to symbol rows: a table function that runs where the files are read.
 
-Python files are read with the standard library's syntax tree; the other languages by their declaration patterns and
-the braces around bodies, with strings and comments blanked first. A Python text that is no valid one is read by its
-declaration patterns and indentation.
+Python files are read with the standard library's syntax tree; the other languages by the declarations that one pass
+over their tokens meets (:mod:`symbolith.operators.declarations`). A Python text that is no valid one is read by its
+declaration patterns and indentation. Texts with errors keep the symbols that can be made out; their number of errors
+is told beside them.
 """
 
 from __future__ import annotations
@@ -11,86 +12,47 @@ import ast
 import hashlib
 import inspect
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbolith.operators.declarations import TOKENS, declarations
+
 NAME = r"[^\W\d][\w$]*"
-_BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`|'(?:[^'\\\n]|\\.)*'")
 _PYTHON_BLANK = re.compile(r"#[^\n]*|\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"?|'(?:[^'\\\n]|\\[\s\S])*+'?")
 _DOCSTRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*[rRuU]?(\"\"\"|'''|\"|')((?:\\[\s\S]|(?!\1)[^\\])*+)\1")
-_WORDS = r"(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|export|default|declare|readonly|unsafe|extern|inline|const|pub(?:\([^)]*\))?|open|mutating|synchronized)"
-#: What declares a symbol, by language: kind and pattern of the declaration with its name.
-PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "javascript": [("class", rf"\bclass\s+({NAME})"), ("function", rf"\bfunction\s*\*?\s*({NAME})\s*\("), ("function", rf"\b(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|{NAME}\s*=>)"), ("method", rf"^[ \t]*(?:(?:static|async|get|set)\s+|\*\s*)*({NAME})\s*\([^()]*\)\s*\{{")],
-    "go": [("method", rf"^func\s*\([^)]*\)\s*({NAME})"), ("function", rf"^func\s+({NAME})"), ("class", rf"^type\s+({NAME})\s+struct\b"), ("interface", rf"^type\s+({NAME})\s+interface\b"), ("type", rf"^type\s+({NAME})\s+(?!struct\b|interface\b)")],
-    "rust": [("class", rf"^[ \t]*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?({NAME})"), ("interface", rf"\btrait\s+({NAME})"), ("type", rf"\b(?:struct|enum|type)\s+({NAME})"), ("function", rf"\bfn\s+({NAME})")],
-    "java": [("interface", rf"\b@?interface\s+({NAME})"), ("class", rf"\b(?:class|enum|record)\s+({NAME})"), ("method", rf"^[ \t]*(?:{_WORDS}\s+)*(?!return\b|new\b|else\b|throw\b)[\w<>\[\],.?]+\s+({NAME})\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{{;]")],
-    "csharp": [("interface", rf"\binterface\s+({NAME})"), ("class", rf"\b(?:class|enum|record)\s+({NAME})"), ("type", rf"\b(?:struct)\s+({NAME})"), ("method", rf"^[ \t]*(?:{_WORDS}\s+)+[\w<>\[\],.?]+\s+({NAME})\s*\([^()]*\)\s*(?:where[^{{;]*)?(?:\{{|=>|;)")],
-    "c": [("type", rf"\b(?:struct|enum)\s+({NAME})\s*\{{"), ("function", rf"^(?!return\b|else\b)(?:[\w*]+[\s*]+)+({NAME})\s*\([^()]*\)\s*\{{")],
-    "php": [("interface", rf"\binterface\s+({NAME})"), ("class", rf"\b(?:class|trait)\s+({NAME})"), ("function", rf"\bfunction\s+({NAME})")],
-    "dart": [("class", rf"\b(?:class|mixin)\s+({NAME})"), ("type", rf"\benum\s+({NAME})"), ("function", rf"^[ \t]*(?!return\b|else\b|new\b)[\w<>?]+\s+({NAME})\s*\([^()]*\)\s*(?:async\s*)?[{{=]")],
-    "swift": [("interface", rf"\bprotocol\s+({NAME})"), ("class", rf"\b(?:class|struct|enum|extension)\s+({NAME})"), ("function", rf"\bfunc\s+({NAME})"), ("function", r"\b(init)\s*\(")],
-}
-PATTERNS["typescript"] = [("interface", rf"\binterface\s+({NAME})"), ("type", rf"\btype\s+({NAME})\s*(?:<[^>]*>)?\s*="), ("class", rf"\b(?:class|enum)\s+({NAME})"), PATTERNS["javascript"][1], ("function", rf"\b(?:const|let|var)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>)?\([^()]*\)\s*(?::[^=]+)?=>|{NAME}\s*=>)"), ("method", rf"^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly|abstract|override)\s+|\*\s*)*({NAME})\s*\([^()]*\)\s*(?::[^{{;=]+)?\{{")]
-PATTERNS["tsx"] = PATTERNS["typescript"]
-PATTERNS["cpp"] = [("class", rf"\b(?:class|namespace)\s+({NAME})\s*[^;(){{}}]*\{{"), *PATTERNS["c"]]
-CONTAINERS = ("class", "interface")
 #: Languages whose nested names are joined by ``::``.
 COLONS = ("rust", "go", "c", "cpp")
-NOT_NAMES = frozenset("if for while switch catch with return function else do try new await typeof foreach lock using fixed".split())
-COLUMNS = "repo string, file string, id string, name string, qualified_name string, kind string, signature string, language string, line int, end_line int, byte_offset long, byte_length long, docstring string, parent string, content_hash string, symbol_seq long"
-
-
-def blanked(text: str) -> str:
-    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+#: Extensions of headers, which are C or C++.
+HEADERS = (".h",)
+COLUMNS = "repo string, file string, id string, name string, qualified_name string, kind string, signature string, language string, line int, end_line int, byte_offset long, byte_length long, docstring string, parent string, decorators array<string>, content_hash string, symbol_seq long"
+STATUS = "repo string, file string, language string, parse_status string, parse_errors long, symbols long"
 
 
 def signature_of(text: str) -> str:
     return re.sub(r"\s*\{?\s*$", "", re.sub(r"\s+", " ", text).strip())
 
 
-def comment_before(text: str, start: int) -> str:
-    """The comment lines right above, marks kept."""
-    out: list[str] = []
-    for line in reversed(text[:start].split("\n")[:-1]):
-        bare = line.strip()
-        if bare.startswith(("//", "/*", "*")) or bare.endswith("*/"):
-            out.append(bare)
-        elif not (bare.startswith(("@", "#[", "[")) and not out):
-            break
-    return "\n".join(reversed(out))
-
-
-def end_of(code: str, at: int) -> int:
-    """End of the body or statement of a declaration whose head ends before ``at``."""
-    stop = re.compile(r"[{;]|\n\s*\n").search(code, at)
-    if not stop or stop.group() != "{":
-        return stop.start() if stop else len(code)
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(code, stop.start()):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(code)
-
-
-def by_patterns(text: str, language: str) -> list[tuple]:
-    """(name, kind, start, end, signature, docstring) in order of start."""
-    code, found = blanked(text), {}
-    for kind, pattern in PATTERNS[language]:
-        for m in re.finditer(pattern, code, re.M):
-            start = code.rfind("\n", 0, m.start(1)) + 1
-            start += len(code[start:]) - len(code[start:].lstrip(" \t"))
-            name = m.group(1)
-            if name in NOT_NAMES or m.start(1) in found or (kind == "method" and language in ("javascript", "typescript", "tsx") and "function" in code[start : m.start(1)]):
-                continue
-            end = end_of(code, m.end(1))
-            brace = code.find("{", m.end(1), end)
-            found[m.start(1)] = (name, kind, start, end, signature_of(text[start : brace if brace > 0 else end]), comment_before(text, start))
-    return [found[k] for k in sorted(found)]
+def by_declarations(text: str, language: str) -> tuple[list[tuple], int]:
+    """(name, kind, start, end, signature, docstring, decorators, place of the container around it) in order of start, and the number of errors."""
+    found, source = declarations(text, language)
+    comments: dict[int, list[tuple[int, int]]] = {}
+    for before, start, end in source.comments:
+        comments.setdefault(before, []).append((start, end))
+    rows = []
+    for d in found:
+        said: list[str] = []
+        for at, end in reversed(comments.get(d.before, [])):
+            # comments that share their line with code speak of that code
+            line = text[text.rfind("\n", 0, at) + 1 : at]
+            if line.strip():
+                break
+            said.append(text[at:end].rstrip())
+        rows.append((d.name, d.kind, d.start, d.end, signature_of(text[d.start : d.head_end]), "\n".join(reversed(said)), d.decorators, d.inside))
+    return rows, source.errors
 
 
 def by_tree(text: str) -> list[tuple]:
@@ -98,7 +60,11 @@ def by_tree(text: str) -> list[tuple]:
     rows: list[tuple] = []
     raw = text.encode()
     starts = [0, *(m.end() for m in re.finditer(rb"\n", raw))]
-    at = lambda line, column: len(raw[: starts[line - 1] + column].decode())
+    # places in bytes are those in characters unless the line has others than ASCII
+    chars = [0]
+    for a, b in zip(starts, [*starts[1:], len(raw)]):
+        chars.append(chars[-1] + len(raw[a:b].decode()))
+    at = lambda line, column: chars[line - 1] + len(raw[starts[line - 1] : starts[line - 1] + column].decode())
     waiting: list[ast.AST] = [ast.parse(text)]
     while waiting:
         node = waiting.pop()
@@ -106,8 +72,14 @@ def by_tree(text: str) -> list[tuple]:
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
             column = node.col_offset
             start, end = at(first, column), at(node.end_lineno, node.end_col_offset)
-            head = text[at(node.lineno, column) : at(node.body[0].lineno, 0)].split(":\n")[0]
-            rows.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", start, end, signature_of(head).rstrip(":"), (ast.get_docstring(node) or "").strip()))
+            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            if node.decorator_list:
+                # the reference names the outer node: its first line is the signature, and it has no body to look for a string in
+                marks = [text[at(d.lineno, d.col_offset) : at(d.end_lineno, d.end_col_offset)] for d in node.decorator_list]
+                rows.append((node.name, kind, start, end, text[start:end].split("\n")[0].strip(), "", ["@" + m for m in marks]))
+            else:
+                head = text[start : at(node.body[0].lineno, 0)].split(":\n")[0]
+                rows.append((node.name, kind, start, end, signature_of(head).rstrip(":"), (ast.get_docstring(node) or "").strip(), []))
             if node.decorator_list and not isinstance(node, ast.ClassDef):
                 continue  # the reference doesn't go into decorated functions
         waiting += [x for x in ast.iter_child_nodes(node) if isinstance(x, (ast.stmt, ast.excepthandler, ast.match_case))]
@@ -141,7 +113,11 @@ def by_indentation(text: str) -> list[tuple]:
         end = max(m.end(), start + len(text[start : ends_at(text, lines[inside - 1][1], limit, indent)].rstrip()))
         doc = _DOCSTRING.match(text, head_end + 1) if code[head_end : head_end + 1] == ":" else None
         kind = "class" if m.group(2) == "class" else "function"
-        rows.append((m.group(3), kind, start, end, signature_of(text[m.start(2) : head_end]), inspect.cleandoc(doc.group(2).replace("\r\n", "\n")).strip() if doc else ""))
+        if first < at:
+            marks = [text[a:b].strip() for a, b, _ in lines[first:at]]
+            rows.append((m.group(3), kind, start, end, text[start:end].split("\n")[0].strip(), "", marks))
+        else:
+            rows.append((m.group(3), kind, start, end, signature_of(text[m.start(2) : head_end]), inspect.cleandoc(doc.group(2).replace("\r\n", "\n")).strip() if doc else "", []))
         if kind == "function" and first < at:
             decorated_until = end
     return rows
@@ -167,31 +143,57 @@ def ends_at(text: str, end: int, limit: int, indent: int) -> int:
     return end
 
 
-def symbols_of(path: str, text: str, language: str) -> list[dict]:
-    """The symbols of a file, children after their parents; of a Python text that is no valid one, those that can be made out."""
+def symbols_of(path: str, text: str, language: str) -> tuple[list[dict], int]:
+    """The symbols of a file, children after their parents, and the number of errors met.
+
+    Of a text with errors the symbols are those that can be made out. A header whose C reading meets errors is read as
+    C++ if that meets fewer.
+    """
+    errors = 0
     if language == "python":
         try:
             found = by_tree(text)
         except (SyntaxError, ValueError, RecursionError, IndexError, MemoryError):
-            found = by_indentation(text)
+            found, errors = by_indentation(text), 1
+    elif language in TOKENS:
+        found, errors = by_declarations(text, language)
+        if errors and path.lower().endswith(HEADERS):
+            other, fewer = by_declarations(text, "cpp")
+            if fewer < errors:
+                found, errors = other, fewer
     else:
-        found = by_patterns(text, language) if language in PATTERNS else []
-    open_: list[tuple[int, str, str]] = []
-    out = []
-    for name, kind, start, end, signature, docstring in sorted(found, key=lambda f: (f[2], -f[3])):
-        while open_ and open_[-1][0] <= start:
-            open_.pop()
-        scope = [x[1] for x in open_]
-        qualified = ("::" if language in COLONS else ".").join([*scope, name])
+        return [], 0
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    ascii_only = text.isascii()
+    places = sorted({x for f in found for x in f[2:4]})
+    offsets, last, count = {}, 0, 0
+    for place in places:
+        count += place - last if ascii_only else len(text[last:place].encode("utf-8", "surrogatepass"))
+        offsets[place], last = count, place
+    separator = "::" if language in COLONS else "."
+    out: list[dict] = []
+    scopes: list[list[str]] = []
+    open_: list[tuple[int, int]] = []
+    for n, (name, kind, start, end, signature, docstring, decorators, *inside) in enumerate(found if language != "python" else sorted(found, key=lambda f: (f[2], -f[3]))):
+        if inside:
+            around = inside[0]
+        else:
+            while open_ and open_[-1][0] <= start:
+                open_.pop()
+            around = open_[-1][1] if open_ else None
+            if kind == "class":
+                open_.append((end, n))
+        scope = [*scopes[around], out[around]["name"]] if around is not None else []
+        scopes.append(scope)
+        qualified = separator.join([*scope, name])
         source = text[start:end]
-        row = {
-            "id": f"{path}::{qualified}#{kind}", "name": name, "qualified_name": qualified, "kind": kind, "signature": signature, "line": text.count("\n", 0, start) + 1,
-            "end_line": text.count("\n", 0, max(start, end - 1)) + 1, "byte_offset": len(text[:start].encode()), "byte_length": len(source.encode()), "docstring": docstring,
-            "parent": open_[-1][2] if open_ else None, "content_hash": hashlib.sha256(source.encode()).hexdigest(),
-        }
-        out.append(row)
-        if kind in CONTAINERS:
-            open_.append((end, name, row["id"]))
+        out.append(
+            {
+                "id": f"{path}::{qualified}#{kind}", "name": name, "qualified_name": qualified, "kind": kind, "signature": signature, "line": bisect_right(lines, start),
+                "end_line": bisect_right(lines, max(start, end - 1)), "byte_offset": offsets[start], "byte_length": offsets[end] - offsets[start], "docstring": docstring,
+                "parent": out[around]["id"] if around is not None else None, "decorators": decorators, "content_hash": hashlib.sha256(source.encode("utf-8", "surrogatepass")).hexdigest(),
+            }
+        )
     same: dict[str, int] = {}
     for row in out:
         same[row["id"]] = same.get(row["id"], 0) + 1
@@ -201,7 +203,7 @@ def symbols_of(path: str, text: str, language: str) -> list[dict]:
         if same[base] > 1:
             number[base] = number.get(base, 0) + 1
             row["id"] = f"{base}~{number[base]}"
-    return out
+    return out, errors
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -214,7 +216,25 @@ def parsed(files: DataFrame) -> DataFrame:
             for repo, path, language, content in zip(batch["repo"], batch["path"], batch["language"], batch["content"]):
                 if content is None or language is None:
                     continue
-                rows += [{"repo": repo, "file": path, "language": language, "symbol_seq": i, **row} for i, row in enumerate(symbols_of(path, content, language))]
+                rows += [{"repo": repo, "file": path, "language": language, "symbol_seq": i, **row} for i, row in enumerate(symbols_of(path, content, language)[0])]
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("repo", "path", "language", "content").mapInPandas(run, COLUMNS).where(F.col("id").isNotNull())
+
+
+def parse_status(files: DataFrame) -> DataFrame:
+    """(repo, file, language, parse_status, parse_errors, symbols) per file: ``ok``, ``errors``, or ``unread`` for a null text or no language."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in STATUS.split(", ")]
+        for batch in batches:
+            rows = []
+            for repo, path, language, content in zip(batch["repo"], batch["path"], batch["language"], batch["content"]):
+                if content is None or language is None:
+                    rows.append((repo, path, language, "unread", 0, 0))
+                    continue
+                found, errors = symbols_of(path, content, language)
+                rows.append((repo, path, language, "errors" if errors else "ok", errors, len(found)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("repo", "path", "language", "content").mapInPandas(run, STATUS)
