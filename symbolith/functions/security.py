@@ -22,7 +22,7 @@ BINARY_EXTENSIONS = (
     "exe dll so dylib a lib obj o class jar war ear zip tar gz bz2 xz 7z rar png jpg jpeg gif bmp ico webp svg mp3 mp4 wav avi mov mkv flac pdf doc docx xls xlsx ppt pptx "
     "pyc pyo pyd wasm bin dat ttf otf woff woff2 eot sqlite db mdb sqlite3 iso img dmg vmdk"
 ).split()
-MAX_FILE_BYTES = 512_000
+MAX_FILES, MAX_FILE_BYTES = 500, 512_000
 SKIP_REASONS = ("no_language", "excluded", "gitignore", "skip_pattern")
 
 

@@ -70,14 +70,27 @@ def signature_summary(kind: Column, name: Column, signature: Column) -> Column:
     return F.concat(F.initcap(kind), F.lit(" '"), name, F.lit("': "), F.substring(signature, 1, 80))
 
 
+#: Fixed value: what a summarizer is asked.
+PROMPT_HEAD = "For each numbered code symbol below, write ONE short sentence (max 15 words) describing what it does. Focus on behavior, not implementation. Reply with ONLY numbered lines matching the input order."
+
+
+def prompt_item(number: Column, kind: Column, qualified_name: Column, signature: Column, docstring: Column) -> Column:
+    """What a prompt says of one symbol; its documentation to 200 characters, if it has any."""
+    told = F.when(F.coalesce(docstring, F.lit("")) != "", F.concat(F.lit("Docstring: "), F.substring(docstring, 1, 200))).otherwise("")
+    return F.concat(number.cast("string"), F.lit(". ["), kind, F.lit("] "), qualified_name, F.lit("\n   Signature: "), signature, F.lit("\n   "), told)
+
+
 def prompt_line(number: Column, kind: Column, signature: Column) -> Column:
     return F.concat(number.cast("string"), F.lit(". "), kind, F.lit(": "), F.substring(signature, 1, 200))
 
 
-def numbered_answers(response: Column) -> Column:
-    """The answers of a numbered list, in order; numbers before leading blanks stay."""
+def numbered_answers(response: Column, count: Column | None = None) -> Column:
+    """The answers of a numbered list, in order; numbers before leading blanks stay. With ``count`` exactly so many, empty ones at the end."""
     lines = F.filter(F.split(response, "\n"), lambda x: x.rlike(r"^\s*\d+\."))
-    return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\d+\.\s*", "")))
+    found = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^\d+\.\s*", "")))
+    if count is None:
+        return found
+    return F.slice(F.concat(found, F.array_repeat(F.lit(""), F.greatest(count - F.size(found), F.lit(0)).cast("int"))), F.lit(1), count.cast("int"))
 
 
 def tokens_saved(raw_bytes: Column, response_bytes: Column) -> Column:

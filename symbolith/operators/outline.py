@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symbolith.functions.text import basename
-from symbolith.sources.tables import latest
+from symbolith.operators import hierarchy
+from symbolith.sources.tables import latest, ship
+
+#: Files with more symbols than this are resolved by contraction instead of in one task.
+TOGETHER = 50_000
 
 
 def file_tree(current: DataFrame, symbols: DataFrame, prefix: str = "") -> DataFrame:
@@ -30,6 +36,59 @@ def file_tree(current: DataFrame, symbols: DataFrame, prefix: str = "") -> DataF
     )
 
 
+def tree_order(tree: DataFrame) -> DataFrame:
+    """Adds ``sort_key``, by which the rows of a repo are in the order of a walk: in every folder its folders first, then its files, each by name."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.concat(F.lit("0"), x))
+    last = F.concat(F.when(F.col("type") == "dir", "0").otherwise("1"), "name")
+    return tree.withColumn("sort_key", F.array_join(F.concat(folders, F.array(last)), "\u0001"))
+
+
+PLACES = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("root", T.StringType()), T.StructField("depth", T.LongType()), T.StructField("preorder", T.LongType())]))
+
+
+def places_of(rows: list[tuple]) -> list[dict]:
+    """Root, depth and place in preorder of (seq, id, parent) rows; what is caught in a loop has none."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+    known = {i for _, i, _ in rows}
+    below: dict = {}
+    for _, i, parent in rows:
+        below.setdefault(parent if parent in known else None, []).append(i)
+    out, waiting = [], [(i, i, 0) for i in reversed(below.get(None, []))]
+    while waiting:
+        i, root, depth = waiting.pop()
+        out.append({"id": i, "root": root, "depth": depth, "preorder": len(out)})
+        waiting += [(x, root, depth + 1) for x in reversed(below.get(i, []))]
+    return out
+
+
+@F.pandas_udf(PLACES)
+def file_places(seqs: pd.Series, ids: pd.Series, parents: pd.Series) -> pd.Series:
+    return pd.Series([places_of(list(zip(s, i, p))) for s, i, p in zip(seqs, ids, parents)], dtype=object)
+
+
+def file_forest(symbols: DataFrame) -> DataFrame:
+    """(repo, file, id, root, depth, preorder) of symbols (repo, file, id, parent, symbol_seq), parents in the same file only.
+
+    A file is resolved in one pass; files with more than TOGETHER symbols by contraction, without ``preorder``. Symbols
+    caught in loops are left out, as are rows without file or id.
+    """
+    ship(symbols.sparkSession)
+    rows = symbols.where("file IS NOT NULL AND id IS NOT NULL").select("repo", "file", "id", "parent", "symbol_seq")
+    sizes = rows.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > TOGETHER).select("repo", "file")
+    # a flag
+    some = not large.isEmpty()
+    few = rows.join(large, ["repo", "file"], "left_anti") if some else rows
+    held = few.groupBy("repo", "file").agg(F.collect_list(F.struct("symbol_seq", "id", "parent")).alias("r"))
+    placed = held.select("repo", "file", F.explode(file_places.asNondeterministic()("r.symbol_seq", "r.id", "r.parent")).alias("p")).select("repo", "file", "p.*")
+    if some:
+        contracted = hierarchy.hierarchy(rows.join(large, ["repo", "file"], "left_semi"), ["repo", "file"], "id", "parent")
+        rest = contracted.where("depth IS NOT NULL").select("repo", "file", "id", "root", "depth", F.lit(None).cast("long").alias("preorder"))
+        placed = placed.unionByName(rest)
+    return placed
+
+
 def top_folders(current: DataFrame, top: int = 20) -> DataFrame:
     """The folders at the root of each repo with the most files."""
     folder = F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(".")

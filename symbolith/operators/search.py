@@ -57,10 +57,19 @@ def search_text(current: DataFrame, query: str, file_pattern: str | None = None,
     """The first ``limit`` (1 to 200) matching lines in the order of files and lines."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must be 1 to 200")
-    found = matching_lines(current, query, file_pattern).orderBy("file_seq", "line").limit(limit)
+    found = matching_lines(current, query, file_pattern).orderBy("file_seq", "path", "line").limit(limit)
     return found.select("repo", "path", "line", F.substring("text", 1, 200).alias("text"), "file_seq")
 
 
+def opened_files(current: DataFrame, file_pattern: str | None = None, last=None) -> DataFrame:
+    """The files that a search in order looks into: all that the pattern leaves, or those up to the file of its ``last`` match."""
+    if file_pattern:
+        current = current.where(F.col("path").rlike(glob_to_regex(file_pattern, False)))
+    if last is None:
+        return current
+    return current.where((F.col("file_seq") < last["file_seq"]) | ((F.col("file_seq") == last["file_seq"]) & (F.col("path") <= last["path"])))
+
+
 def grouped_matches(found: DataFrame) -> DataFrame:
     """One row per file with its matches in order."""
     return found.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("matches"))

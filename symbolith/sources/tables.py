@@ -38,11 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share for cut lineage.
 
-    ``spark.checkpoint.dir`` of the session decides; only where it is unset (tests, local mode) a temporary folder is
-    made and remembered in the session.
+    ``spark.checkpoint.dir`` of the session decides. Only a local master (tests) may do without: a temporary folder is
+    made then and remembered in the session. On a cluster it would be another disk for every executor, so that is an error.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.symbolith.shared.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.symbolith.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="symbolith-")
         spark.conf.set("spark.symbolith.shared.dir", folder)
     return folder.rstrip("/")

@@ -7,26 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from symbolith.engine import Engine
+from symbolith.functions import security
 from symbolith.functions.text import language
+from symbolith.sources.tables import ship
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def watch_files(engine: Engine, repo: str, folder: str, checkpoint: str, schema: str = "repo string, path string, content string") -> StreamingQuery:
-    """Index file rows that arrive as Parquet below ``folder``; a path's later row replaces its earlier one.
+def watch_files(engine: Engine, repo: str | None, folder: str, checkpoint: str, schema: str = "repo string, path string, content string", excludes: list[str] | None = None, pattern: str | None = None) -> StreamingQuery:
+    """Index file rows that arrive as Parquet below ``folder``, of one repo or of all; a path's later row replaces its earlier one.
 
-    Every micro-batch is laid over what is indexed and goes through the same change detection as a batch run, so that
-    a batch that is run again after a failure changes nothing.
+    Rows may carry ``at``, the time of the change, and ``deleted``; without a time the later file counts, and in it the
+    later row is unknown, so the larger one is taken. Every micro-batch changes only the paths that it names, through the
+    same change detection as a batch run, so that one that is run again after a failure changes nothing. Files in
+    folders of ``excludes`` and without a language aren't watched.
     """
-    spark = engine.spark
+    ship(engine.spark)
+    out = list(excludes if excludes is not None else security.SKIPPED_ENTRIES)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        come = batch.where((F.col("repo") == repo) & F.col("path").isNotNull()).groupBy("repo", "path").agg(F.max("content").alias("content"))
-        come = come.withColumn("language", language(F.col("path"))).where("language IS NOT NULL")
-        kept = engine.store.read("files", repo).select("repo", "path", "content", "language").join(come.select("path"), "path", "left_anti")
-        engine.index_files(repo, kept.unionByName(come))
-
-    rows = spark.readStream.schema(schema).parquet(folder)
+        rows = batch.where(F.col("repo").isNotNull() & F.col("path").isNotNull())
+        if repo is not None:
+            rows = rows.where(F.col("repo") == repo)
+        folder_ = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+        hidden = F.exists(F.split(folder_, "/"), lambda x: x.isin(*out) | (x.startswith(".") & (x != ".github")))
+        rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~hidden)
+        gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+        at = F.col("at") if "at" in batch.columns else F.col("_come")
+        last = rows.withColumn("_gone", gone | F.col("content").isNull()).groupBy("repo", "path").agg(F.max_by(F.struct("content", "language", "_gone"), F.struct(at, "_gone", "content")).alias("r"))
+        last = last.select("repo", "path", "r.*")
+        engine.apply_changes(last.where("NOT _gone"), last.where("_gone"))
+
+    reader = engine.spark.readStream.schema(schema)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
+    rows = reader.parquet(folder).select("*", F.col("_metadata.file_modification_time").alias("_come"))
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
