@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,10 @@ MODEL_GRAMS = 200_000
 HELD_OUT = 20
 #: The margin lies between these, in nats.
 MARGINS = (12, 40)
+#: The margin of later rounds is no less than this, and changes at most this share of clean records.
+LEAST_LATER, CLEAN_ERRORS = 3, 0.001
+#: Chains of each class that a held-out record is damaged by.
+CHAINS_A_RECORD = 3
 #: Characters that only wrong decoding brings into texts.
 C1 = frozenset(map(chr, range(0x80, 0xA0)))
 #: Nats a character above which a passage is as likely as clean text.
@@ -124,15 +130,27 @@ def changes(text: str, right: str, read_as: str) -> list[tuple[int, int, str]]:
             else:
                 out.append((start, end, char))
         return [c for c in out if not quoted(text, c[0], c[1])]
-    for m in re.finditer("[\x80-\xff](?:[\x00-\x09\x0b-\xff]*[\x80-\xff][\x40-\x7e]?)?", mapped):
+    for start, end, raw in passages(text, read_as):
         try:
-            restored = m.group().encode("latin-1").decode(right)
+            restored = raw.decode(right)
         except UnicodeDecodeError:
             continue
-        if restored == text[m.start() : m.end()] or quoted(text, *m.span()):
-            continue
-        if not _TALKED_ABOUT.sub(" ", text[max(0, m.start() - 1) : m.end() + 1]).isascii():
-            out.append((*m.span(), restored))
+        if restored != text[start:end]:
+            out.append((start, end, restored))
+    return out
+
+
+_PASSAGE = re.compile("[\x80-\xff](?:[\x00-\x09\x0b-\xff]*[\x80-\xff][\x40-\x7e]?)?")
+
+
+@lru_cache(4096)
+def passages(text: str, read_as: str) -> list[tuple[int, int, bytes]]:
+    """(start, end, bytes) of the passages in a table's characters beyond ASCII that aren't talked about; kept, as many chains share a table."""
+    out = []
+    for m in _PASSAGE.finditer(mapped_to_bytes(text, read_as)):
+        start, end = m.span()
+        if not quoted(text, start, end) and not _TALKED_ABOUT.sub(" ", text[max(0, start - 1) : end + 1]).isascii():
+            out.append((start, end, m.group().encode("latin-1")))
     return out
 
 
@@ -165,18 +183,26 @@ class Model:
             value = self.seen[gram] = math.log(three)
         return value
 
-    def score(self, text: str, start: int, end: int) -> float:
-        """Log likelihood of ``text[start:end]`` and the two characters behind it, given the two before."""
+    def score(self, text: str, start: int, end: int, least: float = -math.inf) -> float:
+        """Log likelihood of ``text[start:end]`` and the two characters behind it, given the two before.
+
+        A likelihood only falls as characters are added: once it is not above ``least`` the sum so far is given.
+        """
         padded, seen, total = "  " + text + "  ", self.seen, 0.0
         for i in range(start, min(end + 2, len(text))):
             gram = padded[i : i + 3]
             value = seen.get(gram)
             total += self.gram(gram) if value is None else value
+            if total <= least:
+                break
         return total
 
 
 def gains_of(model: Model, text: str, found: list[tuple[int, int, str]], known: dict | None = None) -> list[float]:
-    """How much likelier each restored passage is than what stands there; ``known`` keeps what was scored before."""
+    """How much likelier each restored passage is than what stands there; ``known`` keeps what was scored before.
+
+    Of a passage that isn't likelier only that is told: its gain isn't above zero, but how far below is left open.
+    """
     known = {} if known is None else known
     out = []
     for start, end, restored in found:
@@ -184,7 +210,7 @@ def gains_of(model: Model, text: str, found: list[tuple[int, int, str]], known:
         old = known.get((start, end))
         if old is None:
             old = known[start, end] = model.score(left + text[start:end] + right, len(left), len(left) + end - start)
-        out.append(model.score(left + restored + right, len(left), len(left) + len(restored)) - old)
+        out.append(model.score(left + restored + right, len(left), len(left) + len(restored), old) - old)
     return out
 
 
@@ -267,12 +293,13 @@ def best_chain(model: Model, text: str) -> tuple[float, str, list[tuple[int, int
     return best
 
 
-def restore(model: Model, text: str, margin: float) -> tuple[str, list[str], float]:
-    """The restored text, the chains applied, and their whole gain."""
+def restore(model: Model, text: str, margin: float, later: float | None = None) -> tuple[str, list[str], float]:
+    """The restored text, the chains applied, and their whole gain; ``later`` is the margin of all rounds but the first."""
+    later = margin if later is None else later
     applied, total = [], 0.0
     for _ in range(6):
         won, chain, found = best_chain(model, text)
-        if won < margin and not (applied and won > 0.25 * margin):
+        if won < (later if applied else margin):
             break
         parts, last = [], 0
         for start, end, restored in found:
@@ -324,8 +351,28 @@ def train(documents: DataFrame) -> dict[str, int]:
     return {spelled(r["gram"]): r["n"] for r in counts.orderBy(F.desc("n"), "gram").limit(MODEL_GRAMS).collect()}
 
 
-def validated_margin(documents: DataFrame, model) -> float:
-    """The margin with the fewest errors on held-out clean records and the same records garbled in every table."""
+def garbled(text: str, right: str, read_as: str) -> str | None:
+    """The text as a chain would have damaged it; None if its characters, or bytes, have no place in the tables."""
+    back = {byte: char for char, byte in table_of(read_as).items()}
+    try:
+        raw = text.encode(right)
+    except UnicodeEncodeError:
+        return None
+    if any(b > 0x7F and b not in back for b in raw):
+        return None
+    made = "".join(chr(back[b]) if b > 0x7F else chr(b) for b in raw)
+    return made if made != text else None
+
+
+def validated_margin(documents: DataFrame, model) -> tuple[float, float]:
+    """(margin, margin of later rounds), validated on held-out clean records.
+
+    The first is the one with the fewest errors on the records as they are and as chains damage them: every record goes
+    through some chains of each class, those between UTF-8 and tables and those between other encodings, in turn, so that
+    all chains that can express a record are met. The later one decides whether a text that was restored once is changed
+    again: the least at which the records themselves, as many times ``CLEAN_ERRORS`` as there are, stay as they are.
+    """
+    chains = [[("utf-8", e) for e in UTF8_READ_AS], list(OTHER_CHAINS)]
     held = documents.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0).select("text")
 
     def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,16 +383,21 @@ def validated_margin(documents: DataFrame, model) -> float:
                 if not text or text.isascii() or not is_clean(text):
                     continue
                 rows[(0, min(int(best_chain(scorer, text)[0]), 200))] += 1
-                for table_name in ("cp1252", "mac_roman", "cp850", "cp1250"):
-                    back = {byte: char for char, byte in table_of(table_name).items()}
-                    garbled = "".join(chr(back[b]) if b > 0x7F else chr(b) for b in text.encode("utf-8", "ignore"))
-                    won = sum(gains_of(scorer, garbled, changes(garbled, "utf-8", table_name)))
-                    rows[(1, max(-200, min(int(won), 200)))] += 1
+                for group in chains:
+                    turn = zlib.crc32(text.encode("utf-8", "ignore"))
+                    made = ((right, read_as, garbled(text, right, read_as)) for right, read_as in group[turn % len(group) :] + group[: turn % len(group)])
+                    for right, read_as, bad in islice((x for x in made if x[2] is not None), CHAINS_A_RECORD):
+                        won = sum(g for g in gains_of(scorer, bad, changes(bad, right, read_as)) if g > 0)
+                        rows[(1, min(int(won), 200))] += 1
         yield pd.DataFrame([(y, g, n) for (y, g), n in rows.items()], columns=["garbled", "gain", "n"]).astype({"garbled": "int32", "gain": "int32", "n": "int64"})
 
     table_ = held.mapInPandas(gains, "garbled int, gain int, n long").groupBy("garbled", "gain").agg(F.sum("n").alias("n")).collect()
     wrong = lambda m: sum(r["n"] * 20 for r in table_ if not r["garbled"] and r["gain"] >= m) + sum(r["n"] for r in table_ if r["garbled"] and r["gain"] < m)
-    return float(min(range(*MARGINS), key=lambda m: (wrong(m), m)))
+    margin = min(range(*MARGINS), key=lambda m: (wrong(m), m))
+    clean = sum(r["n"] for r in table_ if not r["garbled"])
+    changed = lambda m: sum(r["n"] for r in table_ if not r["garbled"] and r["gain"] >= m)
+    later = next((m for m in range(LEAST_LATER, margin) if changed(m) <= CLEAN_ERRORS * clean), margin)
+    return float(margin), float(later)
 
 
 RESULT = T.StructType(
@@ -367,7 +419,7 @@ def examined(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(train(documents))
-    margin = validated_margin(documents, model)
+    margin, later = validated_margin(documents, model)
 
     def judge(texts: pd.Series) -> pd.DataFrame:
         scorer = None
@@ -378,7 +430,7 @@ def examined(documents: DataFrame) -> DataFrame:
                 continue
             if scorer is None:
                 scorer = _scorer(model)
-            restored, chains, won = restore(scorer, text, margin)
+            restored, chains, won = restore(scorer, text, margin, later)
             remains = lost(restored)
             rows.append((bool(chains) or lost(text), restored if chains else None, chains, won, not remains))
         return pd.DataFrame(rows, columns=[f.name for f in RESULT.fields])

@@ -312,3 +312,20 @@ def test_variants_lose_no_link_that_exact_pairs_have(spark):
     known = [grams(w) for w in base]
     wanted = {tuple(w) for i, w, _ in rows if i >= 1000 and tuple(w) not in {tuple(b) for b in base} and any(len(g & grams(w)) / len(g | grams(w)) >= 0.8 for g in known)}
     assert found <= wanted and len(wanted) > 100 and len(found) >= 0.9 * len(wanted), (len(found), len(wanted))
+
+
+def test_single_byte_chains_are_found(spark):
+    """Western texts damaged between single-byte tables, accents one by one, in texts that the model knows."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test data")
+    documents = spark.read.parquet(str(folder / "documents.parquet")).select("doc_id", "lang", "text")
+    model = encoding.Model(encoding.train(documents))
+    rows = documents.where(F.lower(F.trim("lang")).isin("de", "fr", "es", "pt")).select("text").orderBy("doc_id").collect()
+    clean = list(dict.fromkeys(r["text"] for r in rows if r["text"] and encoding.is_clean(r["text"]) and not r["text"].isascii()))[:120]
+    assert len(clean) > 60
+    for right, read_as in (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850")):
+        bad = [b for b in (encoding.garbled(t, right, read_as) for t in clean) if b and sum(not c.isascii() for c in b) >= 3]
+        found = sum(bool(encoding.restore(model, b, 20.0, 5.0)[1]) for b in bad)
+        assert len(bad) > 20 and found >= 0.9 * len(bad), (right, read_as, found, len(bad))
+    assert not [t for t in clean if encoding.restore(model, t, 20.0, 5.0)[1]]
