@@ -116,3 +116,11 @@ def p8_drawn(spark: SparkSession, folder: str) -> DataFrame:
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "mix_targets")
     return shares(materialise(p8_drawn(spark, folder), "drawn"), targets)
+
+
+def p8_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source that a target names and documents have: whether no document is drawn more often than allowed, and none twice in one turn."""
+    drawn = materialise(p8_drawn(spark, folder), "drawn")
+    twice = drawn.groupBy("source", "doc_id", "repeat").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("most"), F.max("repeat").alias("repeats"))
+    limits = table(spark, folder, "mix_targets").groupBy(plain_source("source").alias("source")).agg(F.min("max_repeats").alias("allowed"))
+    return twice.join(limits, "source").select("source", (F.col("repeats") <= F.col("allowed")).alias("within"), (F.col("most") == 1).alias("once_a_turn"))

@@ -149,7 +149,7 @@ def containers(placed: DataFrame) -> DataFrame:
 
 
 def windows_of(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    rows = table(spark, folder, "context_windows").where("capacity_tokens > 0").select("window_name", "capacity_tokens").distinct().orderBy("capacity_tokens", "window_name").limit(1000).collect()
+    rows = table(spark, folder, "context_windows").where("capacity_tokens > 0").select("window_name", "capacity_tokens").distinct().orderBy("capacity_tokens", "window_name").collect()
     return [(r["window_name"], r["capacity_tokens"]) for r in rows]
 
 
@@ -176,3 +176,13 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("n").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.sum("n") * F.col("capacity")), 6).alias("filled"),
         F.min("tokens").alias("least_group"), F.max("tokens").alias("most_group"),
     )
+
+
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that was packed: how often each of its pieces lies in a container, and whether all those containers hold at most their capacity."""
+    windows = windows_of(spark, folder)
+    placed = materialise(packed(table(spark, folder, "documents").select("doc_id", "text"), windows), "placed")
+    over = placed.groupBy("window_name", "container").agg((F.sum("tokens") <= F.max("capacity")).alias("fits"))
+    held = placed.join(over, ["window_name", "container"])
+    times = held.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("times"), F.min("fits").alias("fits"))
+    return times.groupBy("doc_id").agg(F.max("times").alias("times"), F.min("fits").alias("fits"))

@@ -17,9 +17,16 @@ QUERIES = {
     "p7_packed": packing.p7_packed,
     "p7_each_window": packing.p7_each_window,
     "p7_fill": packing.p7_fill,
+    "p7_documents": packing.p7_documents,
+    "p8_repeats": mixing.p8_repeats,
     "p8_drawn": mixing.p8_drawn,
     "p8_shares": mixing.p8_shares,
     "p9_found": encoding.p9_found,
     "p9_restored": encoding.p9_restored,
 }
-ORACLES: dict[str, str] = {}
+#: Properties that packing and mixing must have, whatever the sizes in tokens.
+ORACLES: dict[str, str] = {
+    "p7_documents": "SELECT DISTINCT doc_id, 1::BIGINT AS times, true AS fits FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "p8_repeats": """SELECT DISTINCT lower(trim(d.source)) AS source, true AS within, true AS once_a_turn FROM documents d JOIN mix_targets t ON lower(trim(d.source)) = lower(trim(t.source))
+WHERE d.text <> '' AND d.doc_id IS NOT NULL AND t.target_share > 0 AND t.max_repeats > 0""",
+}
