@@ -20,11 +20,14 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def symbols(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """The current rows of the symbols with ``columns`` besides repo, id and symbol_seq."""
+def symbols(spark: SparkSession, folder: str, columns: list[str], newest: bool = True) -> DataFrame:
+    """The current rows of the symbols, or those seen first, with ``columns`` besides repo, id and symbol_seq."""
     need = list(dict.fromkeys(["repo", "id", *columns, "seen_at", "symbol_seq"]))
     rows = table(spark, folder, "code_symbols").where("repo IS NOT NULL AND id IS NOT NULL").select(*need)
-    return latest(rows, ["repo", "id"], ["seen_at", "symbol_seq"]).drop("seen_at")
+    if newest:
+        return latest(rows, ["repo", "id"], ["seen_at", "symbol_seq"]).drop("seen_at")
+    early = rows.withColumn("_age", -F.unix_micros(F.col("seen_at").cast("timestamp"))).withColumn("_back", -F.col("symbol_seq"))
+    return latest(early, ["repo", "id"], ["_age", "_back"]).drop("seen_at", "_age", "_back")
 
 
 def stored_hashes(spark: SparkSession, folder: str, newest: bool = True) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symbolith.engine import Engine
 from symbolith.functions import security, text
 from symbolith.operators import hierarchy, index, outline, parse, retrieve, search, snapshots
 from symbolith.plans.oracles import ORACLES
-from symbolith.sources.tables import materialise, table
+from symbolith.sources import folder as folders
+from symbolith.sources.store import FILES
+from symbolith.sources.tables import materialise, shared_folder, table
+from symbolith.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,9 +74,22 @@ def files_to_process(s, d):
 
 
 def merge_symbols(s, d):
-    rows = index.symbols(s, d, ["file", "seen_at"])
-    rows = rows.select("repo", "file", "id")
-    return index.merge_symbols(rows, rows, detect_changes(s, d)).distinct()
+    """Symbols as first seen, with those of the files that changed since as last seen."""
+    first = index.symbols(s, d, ["file"], newest=False).select("repo", "file", "id", F.lit("first").alias("seen"))
+    last = index.symbols(s, d, ["file"]).select("repo", "file", "id", F.lit("last").alias("seen"))
+    return index.merge_symbols(first, last, materialise(detect_changes(s, d), "changes"))
+
+
+def processed_languages(s, d):
+    """How many files of each language a run has to parse."""
+    work = index.files_to_process(files(s, d), detect_changes(s, d))
+    return work.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"))
+
+
+def failed_runs(s, d):
+    """Repos with files but no symbols, whose last run failed."""
+    held = files(s, d).where("content IS NOT NULL").select("repo").distinct()
+    return held.join(index.symbols(s, d, []).select("repo").distinct(), "repo", "left_anti")
 
 
 def merge_file_hashes(s, d):
@@ -166,11 +184,15 @@ def file_tree_prefix(s, d):
     return outline.file_tree(files(s, d), index.symbols(s, d, ["file"]), "src").select("repo", "path", "type", "depth")
 
 
+def file_tree_order(s, d):
+    """The tree in the order of a walk: folders first, each by name."""
+    tree = outline.file_tree(files(s, d), index.symbols(s, d, ["file"]))
+    return outline.tree_order(tree).select("repo", "path", "type", "sort_key")
+
+
 def file_outline(s, d):
-    """The symbols of every file as a forest: parents of the same file only."""
-    rows = materialise(index.symbols(s, d, ["file", "parent", "name"]), "outline").where("file IS NOT NULL")
-    placed = hierarchy.hierarchy(rows, ["repo", "file"], "id", "parent")
-    return placed.where("depth IS NOT NULL").select("repo", "file", "id", "root", "depth")
+    """The symbols of every file as a forest in preorder: parents of the same file only."""
+    return outline.file_forest(index.symbols(s, d, ["file", "parent"]))
 
 
 def repo_languages(s, d):
@@ -217,12 +239,13 @@ def summary_tiers(s, d):
 
 def summary_prompts(s, d):
     """The prompts for the symbols of a file in batches of twenty."""
-    rows = index.symbols(s, d, ["file", "kind", "signature"])
+    rows = index.symbols(s, d, ["file", "kind", "qualified_name", "signature", "docstring"])
     at = F.row_number().over(Window.partitionBy("repo", "file").orderBy("symbol_seq", "id")) - 1
     numbered = rows.withColumn("at", at).withColumn("batch", F.floor(F.col("at") / 20).cast("long")).withColumn("number", F.pmod("at", F.lit(20)) + 1)
-    line = text.prompt_line(F.col("number"), F.col("kind"), F.col("signature"))
-    made = numbered.select("repo", "file", "batch", "number", line.alias("line")).groupBy("repo", "file", "batch").agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("x"))
-    return made.select("repo", "file", "batch", F.array_join(F.transform("x", lambda v: F.coalesce(v["line"], F.lit(""))), "\n").alias("prompt"))
+    item = text.prompt_item(F.col("number"), F.col("kind"), F.col("qualified_name"), F.coalesce("signature", F.lit("")), F.col("docstring"))
+    made = numbered.select("repo", "file", "batch", "number", item.alias("item")).groupBy("repo", "file", "batch").agg(F.array_sort(F.collect_list(F.struct("number", "item"))).alias("x"))
+    items = F.array_join(F.transform("x", lambda v: F.coalesce(v["item"], F.lit(""))), "\n\n")
+    return made.select("repo", "file", "batch", F.concat(F.lit(text.PROMPT_HEAD + "\n\n"), items).alias("prompt"))
 
 
 def parse_numbered_response(s, d):
@@ -230,6 +253,42 @@ def parse_numbered_response(s, d):
     return rows.select("doc_id", F.posexplode("answers").alias("pos", "answer")).select("doc_id", (F.col("pos") + 1).cast("long").alias("n"), "answer")
 
 
+def padded_answers(s, d):
+    """Numbered answers brought to the count that was asked for."""
+    asked = F.col("doc_id") % 5 + 1
+    rows = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", text.numbered_answers(F.regexp_replace("text", "\n- ", "\n12. "), asked).alias("answers"))
+    return rows.select("doc_id", F.posexplode("answers").alias("pos", "answer")).select("doc_id", (F.col("pos") + 1).cast("long").alias("n"), "answer")
+
+
+def batch_bytes(s, d):
+    """What a batch of all requested parents reads: its files, each once, their bytes and those of the symbols."""
+    wanted = index.symbols(s, d, ["file", "byte_length"]).join(requests(s, d).select("repo", F.col("symbol_id").alias("id")).distinct(), ["repo", "id"], "left_semi")
+    return retrieve.read_bytes(wanted, files(s, d))
+
+
+def raw_bytes(s, d):
+    """Bytes of all files of a repo, and of those that a search met."""
+    current = files(s, d)
+    met = search.matching_lines(current, "todo").select("repo", "path").distinct().withColumn("met", F.lit(True))
+    both = current.select("repo", "path", "size_bytes").join(met, ["repo", "path"], "left")
+    return both.groupBy("repo").agg(F.sum("size_bytes").alias("all_bytes"), F.coalesce(F.sum(F.when(F.col("met"), F.col("size_bytes"))), F.lit(0)).alias("met_bytes"), F.count("met").alias("met_files"))
+
+
+def search_response(s, d):
+    """What a symbol search tells beside its results, by kind of the symbols searched."""
+    rows = index.symbols(s, d, SEARCHED)
+    found = rows.withColumn("score", search.score("merge")).where("score > 0").groupBy("kind").agg(F.count(F.lit(1)).alias("matches"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("total_indexed")).join(found, "kind", "left").select(
+        "kind", "total_indexed", F.least(F.coalesce("matches", F.lit(0)), F.lit(50)).cast("long").alias("count"), (F.coalesce("matches", F.lit(0)) >= 50).alias("truncated")
+    )
+
+
+def payload_bytes(s, d):
+    """Bytes of every symbol as the JSON of an answer."""
+    rows = index.symbols(s, d, ["name", "kind", "line"]).select("repo", "id", F.struct("id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("line", F.lit(0)).alias("line")).alias("x"))
+    return rows.select("repo", "id", F.octet_length(F.to_json("x")).cast("long").alias("bytes"))
+
+
 def tokens_saved(s, d):
     """What a look at one symbol saves against reading its file."""
     sizes = files(s, d).select("repo", F.col("path").alias("file"), "size_bytes")
@@ -272,11 +331,80 @@ def repository_urls(s, d):
     return rows.select("repo", F.explode(forms).alias("url")).select("repo", "url", text.repository_of(F.col("url")).alias("parsed"))
 
 
+def delivered_bodies(s, d):
+    """The files as a hosting interface delivers their bodies: one JSON document a file, base64 in lines."""
+    lined = F.regexp_replace(F.regexp_replace(F.base64(F.encode("content", "UTF-8")), r"\s", ""), f"(.{{{folders.BODY_LINE}}})", "$1\n")
+    body = F.to_json(F.struct("path", F.lit("base64").alias("encoding"), lined.alias("content")))
+    return materialise(files(s, d).where("content IS NOT NULL").select("repo", "path", body.alias("value")), "bodies")
+
+
 def fetched_content(s, d):
-    """Contents as a hosting interface delivers them, decoded again."""
-    sent = files(s, d).where("content <> ''").select("repo", "path", "content_hash", F.base64(F.encode("content", "UTF-8")).alias("sent"))
-    received = F.decode(F.unbase64(F.regexp_replace("sent", r"\s", "")), "UTF-8")
-    return sent.select("repo", "path", (F.sha2(received, 256) == F.col("content_hash")).alias("intact"))
+    """The files read back from delivered bodies."""
+    return folders.fetched_bodies(delivered_bodies(s, d)).select("repo", "path", "fetch_status", F.sha2("content", 256).alias("content_hash"))
+
+
+def body_addresses(s, d):
+    return files(s, d).select("repo", "path", folders.body_address(F.col("repo"), F.col("path")).alias("address"))
+
+
+def delivered_trees(s, d):
+    """The files of every repo as pages of the JSON that a hosting interface lists trees in, some 500 entries each."""
+    rows = files(s, d).select("repo", F.struct("path", F.col("content_hash").alias("sha"), F.col("size_bytes").alias("size"), folders.body_address(F.col("repo"), F.col("path")).alias("url"), F.lit("blob").alias("type")).alias("e"))
+    counts = rows.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / 500).alias("pages"))
+    paged = rows.join(counts, "repo").groupBy("repo", F.pmod(F.xxhash64("e.path"), "pages").alias("page")).agg(F.collect_list("e").alias("tree"))
+    return materialise(paged.select("repo", F.to_json(F.struct(F.lit(False).alias("truncated"), "tree")).alias("value")), "trees")
+
+
+def repo_tree(s, d):
+    """The source files that the pages of a hosted tree list, those of the first folders first, to a cap a repo."""
+    listed = folders.listed_tree(folders.tree_entries(delivered_trees(s, d)), max_files=PER_REPO)
+    return listed.select("repo", "path", "language", "size", "priority")
+
+
+def new_store(s):
+    return Engine(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+
+
+def indexed_files(s, d):
+    """The files of all repos after they went through discovery into a store, and were read from it."""
+    engine = new_store(s)
+    engine.index_corpus(skipped(s, d).where("reason IS NULL").select("repo", "path", "language", "content"))
+    return engine.store.read("files").select("repo", "path", "language", "content_hash", "size_bytes")
+
+
+def snapshot_round_trip(s, d):
+    """The current symbols of all repos after a commit, a snapshot as JSON, and a commit of what was read from it."""
+    store = new_store(s).store
+    rows = index.symbols(s, d, ["file", "name", "qualified_name", "kind", "signature", "language", "line", "end_line", "byte_offset", "byte_length", "docstring", "summary", "parent", "decorators", "keywords", "content_hash"])
+    store.commit(rows.select("repo").distinct(), {"symbols": rows, "files": s.createDataFrame([], FILES)})
+    where = f"{store.folder}/snapshots"
+    store.persist(None, where)
+    other = new_store(s).store
+    other.restore(None, where)
+    return other.read("symbols").select("repo", "id", "name", "kind", "line", "docstring", "parent", F.size("decorators").cast("long").alias("decorators"), "content_hash")
+
+
+def streamed_files(s, d):
+    """The files of all repos after their rows came as a stream: of each path the row fetched last."""
+    engine = new_store(s)
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/source_files.parquet")
+    folder = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = {"folder": f"{d}/source_files.parquet"} if folder else {"folder": d, "pattern": "source_files.parquet"}
+    prepare = lambda rows: rows.select("repo", text.plain_path(F.col("rel_path")).alias("path"), "content", F.struct("fetched_at", "file_id").alias("at"))
+    schema = table(s, d, "source_files").schema
+    watch.watch_files(engine, None, checkpoint=f"{engine.store.folder}/checkpoint", schema=schema, prepare=prepare, **source).awaitTermination()
+    return engine.store.read("files").select("repo", "path", "language", "content_hash")
+
+
+def watched_without(s, d):
+    """The folders to watch beside those of an exclude list: here the top folders that begin with a letter up to c, read from a text with comments."""
+    top = F.split_part("path", F.lit("/"), F.lit(1))
+    lines = files(s, d).where(F.contains("path", F.lit("/")) & (F.lower(F.substring(top, 1, 1)) <= "c")).select(F.concat(F.lit("  "), top, F.lit("  # left out")).alias("value")).distinct()
+    written = materialise(lines.unionByName(s.createDataFrame([("# folders",), ("",)], "value string")), "excludes")
+    named = folders.excluded_lines(written)
+    rows = watched_folders(s, d).withColumn("part", F.explode(F.split("folder", "/")))
+    out = rows.join(named.select(F.col("value").alias("part")), "part", "left_semi").select("repo", "folder").distinct()
+    return rows.select("repo", "folder").distinct().join(out, ["repo", "folder"], "left_anti")
 
 
 def watched_folders(s, d):
@@ -290,6 +418,20 @@ def parsed_symbols(s, d):
     return rows.select("repo", "file", "id", "name", "qualified_name", "kind", "signature", "line", "end_line", "byte_offset", "byte_length", "docstring", "parent", "content_hash")
 
 
+def parsed_confirmed(s, d):
+    """The parsed symbols at the places where the table has one whose hash is that of the file's bytes there."""
+    current = files(s, d).where("content IS NOT NULL")
+    rows = index.symbols(s, d, ["file", "name", "kind", "byte_offset", "byte_length", "content_hash"]).where("byte_offset >= 0 AND byte_length > 0")
+    right = retrieve.with_source(rows, current).where("content_verified").select("repo", "file", "byte_offset", "name", "kind").distinct()
+    return parse.parsed(current).join(right, ["repo", "file", "byte_offset", "name", "kind"], "left_semi").select("repo", "file", "name", "kind", "line", "end_line", "byte_offset")
+
+
+def parse_status(s, d):
+    """Files by language and whether they were read without errors."""
+    found = parse.parse_status(files(s, d))
+    return found.groupBy("language", "parse_status").agg(F.count(F.lit(1)).alias("files"), F.sum("parse_errors").alias("errors"), F.sum("symbols").alias("symbols"))
+
+
 def incremental_index(s, d):
     """Symbols after an incremental run: those of unchanged files as indexed, the others parsed anew."""
     changes = materialise(detect_changes(s, d), "changes")
@@ -318,7 +460,8 @@ QUERIES: dict[str, Query] = {
             line_offsets, symbol_source_bytes, verify_hash, search_text, search_text_glob, search_text_all, search_text_grouped, files_searched, get_symbols_batch, get_symbols_errors,
             get_symbol_context, file_tree, file_tree_prefix, file_outline, repo_languages, repo_kinds, repo_top_dirs, file_languages, list_repos, resolve_short_name, docstring_summary,
             signature_summary, summary_tiers, summary_prompts, parse_numbered_response, tokens_saved, savings_running_total, debounce_sessions, duplicate_content, repository_urls,
-            fetched_content, watched_folders, parsed_symbols, incremental_index,
+            fetched_content, watched_folders, parsed_symbols, incremental_index, processed_languages, failed_runs, file_tree_order, padded_answers, batch_bytes, raw_bytes, search_response, payload_bytes,
+            body_addresses, repo_tree, indexed_files, snapshot_round_trip, streamed_files, watched_without, parsed_confirmed, parse_status,
         )
     },
 }

@@ -132,19 +132,22 @@ class Store:
 
     # -- one repo as a document
 
-    def persist(self, repo: str, where: str) -> str:
-        """A snapshot of a repo's index as JSON lines below ``where``, in a folder named after the repo; gives its path."""
-        path = f"{where.rstrip('/')}/{snapshot_name(checked_repo(repo))}"
+    def persist(self, repo: str | None, where: str) -> str:
+        """A snapshot of a repo's index, or of all, as JSON lines below ``where``, in a folder named after the repo; gives its path."""
+        path = f"{where.rstrip('/')}/{snapshot_name(checked_repo(repo)) if repo else 'all'}"
         for table in ("files", "symbols"):
             rows = self.read(table, repo)
             rows.select(F.to_json(F.struct(*column_names(table)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{path}/{table}")
         return path
 
-    def restore(self, repo: str, where: str) -> None:
-        """The index of a snapshot that :meth:`persist` wrote, as a new commit."""
-        path = f"{where.rstrip('/')}/{snapshot_name(checked_repo(repo))}"
-        tables = {t: self.spark.read.text(f"{path}/{t}").select(F.from_json("value", SCHEMAS[t]).alias("r")).select("r.*") for t in ("files", "symbols")}
-        self.commit(self.spark.createDataFrame([(repo,)], "repo string"), tables)
+    def restore(self, repo: str | None, where: str) -> None:
+        """The index of a snapshot that :meth:`persist` wrote, as a new commit; rows of other repos in it are left out."""
+        path = f"{where.rstrip('/')}/{snapshot_name(checked_repo(repo)) if repo else 'all'}"
+        tables = {t: self.spark.read.text(f"{path}/{t}").select(F.from_json("value", SCHEMAS[t]).alias("r")).select("r.*").where("repo IS NOT NULL") for t in ("files", "symbols")}
+        if repo:
+            tables = {t: rows.where(F.col("repo") == repo) for t, rows in tables.items()}
+        heads = self.spark.createDataFrame([(repo,)], "repo string") if repo else tables["files"].select("repo").union(tables["symbols"].select("repo")).distinct()
+        self.commit(heads, tables)
 
 
 def snapshot_name(path: str) -> str:

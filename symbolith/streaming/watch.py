@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from symbolith.engine import Engine
 from symbolith.functions import security
@@ -14,13 +17,13 @@ from symbolith.sources.tables import ship
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def watch_files(engine: Engine, repo: str | None, folder: str, checkpoint: str, schema: str = "repo string, path string, content string", excludes: list[str] | None = None, pattern: str | None = None) -> StreamingQuery:
+def watch_files(engine: Engine, repo: str | None, folder: str, checkpoint: str, schema: str | StructType = "repo string, path string, content string", excludes: list[str] | None = None, pattern: str | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
     """Index file rows that arrive as Parquet below ``folder``, of one repo or of all; a path's later row replaces its earlier one.
 
     Rows may carry ``at``, the time of the change, and ``deleted``; without a time the later file counts, and in it the
     later row is unknown, so the larger one is taken. Every micro-batch changes only the paths that it names, through the
     same change detection as a batch run, so that one that is run again after a failure changes nothing. Files in
-    folders of ``excludes`` and without a language aren't watched.
+    folders of ``excludes`` and without a language aren't watched. ``prepare`` brings rows of another schema into this one.
     """
     ship(engine.spark)
     out = list(excludes if excludes is not None else security.SKIPPED_ENTRIES)
@@ -41,7 +44,9 @@ def watch_files(engine: Engine, repo: str | None, folder: str, checkpoint: str,
     reader = engine.spark.readStream.schema(schema)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.parquet(folder).select("*", F.col("_metadata.file_modification_time").alias("_come"))
+    raw = reader.parquet(folder).select("*", F.col("_metadata.file_modification_time").alias("_come"))
+    made = prepare(raw)
+    rows = made if "at" in made.columns or "_come" in made.columns else made.withColumn("at", F.lit(None).cast("timestamp"))
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
