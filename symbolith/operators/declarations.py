@@ -64,7 +64,7 @@ CONTAINERS: dict[str, tuple[str, ...]] = {
 }
 #: Words before parentheses that name no function.
 NOT_NAMES = frozenset(
-    "if for while switch catch with return function else do try new await typeof foreach lock using fixed sizeof throw yield in of instanceof delete void case when match guard super this base assert synchronized nameof default defer go select not and or elseif "
+    "if for while switch catch with return function else do try new await typeof foreach lock using fixed sizeof throw yield in of instanceof delete case when match guard super this base assert synchronized nameof default defer go select not and or elseif "
     "import require unset isset empty array list echo print static_assert decltype alignas alignof __attribute__ __declspec".split()
 )
 MODIFIERS = frozenset("public private protected internal static final abstract sealed partial virtual override async readonly unsafe extern new get set declare accessor native synchronized strictfp default transient external factory const inline".split())
@@ -179,10 +179,17 @@ def _body(s: Source, i: int, stops: str = ";") -> int:
 
 
 def _statement_end(s: Source, i: int) -> int:
-    """End of a statement without a body of its own."""
-    while s.words[i] and s.words[i] not in (";", "}"):
-        i = s.behind(i) if s.words[i] in OPEN else i + 1
-    return s.ends[i] if s.words[i] == ";" else s.ends[i - 1]
+    """End of a statement without a body of its own; remembered as in :func:`_body`."""
+    known, passed = s.bodies.setdefault("end", {}), []
+    while i not in known:
+        passed.append(i)
+        if not s.words[i] or s.words[i] in (";", "}"):
+            known[i] = s.ends[i] if s.words[i] == ";" else s.ends[i - 1]
+        else:
+            i = s.behind(i) if s.words[i] in OPEN else i + 1
+    for at in passed:
+        known[at] = known[i]
+    return known[i]
 
 
 def _decorated(s: Source, begin: int, language: str) -> tuple[int, list[str]]:
@@ -427,6 +434,8 @@ def declarations(text: str, language: str) -> tuple[list[Declaration], Source]:
             if word in ("class", "interface", "protocol", "trait", "namespace") or (word in ("struct", "record") and language not in ("rust", "csharp")) or (language == "rust" and word in ("enum", "impl", "trait")):
                 return False
             end = _statement_end(s, after)
+            if text[end - 1 : end] != ";":
+                return False
             add(name, kind, end, end, False, begin)
             return True
         if script and word == "class" and before not in ("", ";", "}", "{", "export", "default", "abstract", "declare", ")") and "\n" not in text[ends[i - 1] : starts[i]] and i != begin:
@@ -447,11 +456,12 @@ def declarations(text: str, language: str) -> tuple[list[Declaration], Source]:
         if word in keywords:
             known = by_keyword(word, top[3])
             if known and (word in ("type", "delegate", "typedef") and not script):
+                top[5] = top[3]
                 i += 1
                 continue
         if word in ("=", "=>"):
             top[5] = top[3]
-        if word == "(" and top[5] != top[3] and (i - top[3] < 200 or top[0] in ("type", "top")):
+        if word == "(" and top[5] != top[3] and i - top[3] < 400:
             begin = top[3]
             j = _name_before(s, i, begin)
             if j >= 0 and words[j] not in NOT_NAMES and i in s.partner and (j == begin or words[j - 1] not in (".", "new", "->", "@", "?")):
@@ -463,6 +473,7 @@ def declarations(text: str, language: str) -> tuple[list[Declaration], Source]:
                         low -= 2 if words[low - 1] == "::" else 1
                     found = _callable(s, language, words[first : max(first, low)], words[j], s.behind(i), (top[0], top[1]))
                     if found:
+                        top[5] = begin
                         kind, body = found
                         name = "".join(words[max(first, low) : j + 1])
                         if words[body] == "{":
@@ -480,7 +491,9 @@ def declarations(text: str, language: str) -> tuple[list[Declaration], Source]:
                 place, name, at = bodies[i]
                 stack.append([place, name, top[2] if place == "block" else at, i + 1, i, -1])
             elif word == "{":
-                anonymous = language == "java" and words[i - 1] == ")" and "new" in words[max(0, top[3]) : i]
+                anonymous = language == "java" and (
+                    (words[i - 1] == ")" and "new" in words[max(top[3], i - 400) : i]) or (top[0] == "type" and words[i - 1] != "static" and (words[i - 1] == ")" or words[i - 1][:1].isidentifier()))
+                )
                 top_like = language in ("c", "cpp") and i and words[i - 1] == '"'
                 module = language == "csharp" and "namespace" in words[top[3] : min(i, top[3] + 12)]
                 stack.append(["type" if anonymous else "top" if top_like or module else "block", "", top[2], i + 1, i, -1])
@@ -522,7 +535,7 @@ def _signature_body(s: Source, i: int, script: bool, language: str, protocol: bo
     """The brace of a function's body from its type or value parameters on; -1 if there is none."""
     words = s.words
     while words[i] and words[i] != "(":
-        if words[i] in (";", "{", "}"):
+        if words[i] in (";", "{", "}", "fn", "func", "function"):
             return -1
         i += 1
     i = s.behind(i)

@@ -307,3 +307,148 @@ def test_python_definitions_in_functions_branches_and_broken_files(spark):
     }
     by = {r["qualified_name"]: r for r in rows}
     assert by["B.ok"]["docstring"] == "Does it." and by["B.ok"]["signature"] == "def ok(self, a={1: 2}) -> int" and by["A.inner"]["parent"] == "n.py::A#class"
+
+
+DECLARED = {
+    "a.js": ("class A {\n  constructor(x) { this.x = x; }\n  run(x = g(2)) {\n    return { helper() { return 1; } };\n  }\n}\nexport const go = (cb = f(1)) => {\n  cb();\n};\nlet one = x => x + 1, two = 2;\nif (go(1)) { two(); }\nconst re = /[}\"]/;\n", {("A", "class"), ("A.constructor", "method"), ("A.run", "method"), ("A.helper", "method"), ("go", "function"), ("one", "function")}),
+    "a.ts": ("@Injectable()\nexport class S<T> extends B<T> {\n  @Input() name = 1;\n  @traced({ a: [1] })\n  async get<K extends keyof T>(key: K, f: (a: T) => void): Promise<{ v: T }> {\n    return null;\n  }\n}\ninterface I { m(): void }\ntype U<T> = { a: T } | string;\nenum E { A = 1 }\nexport abstract class Q { abstract z(): void; w(): void {} }\n", {("S", "class"), ("S.get", "method"), ("I", "interface"), ("U", "type"), ("E", "class"), ("Q", "class"), ("Q.w", "method")}),
+    "A.java": ("@Entity(name = \"a;{\")\npublic class A<T> {\n  A(int x) { this(x, 1); }\n  int f(@Named(\"x(\") int a, Map<String, List<T>> m) throws E { return g(a); }\n  <R> R h(R r) { Runnable q = new Runnable() { public void run() { f(1, null); } }; return r; }\n  abstract void k();\n  enum C { X(1), Y { int z() { return 2; } }; C(int i) {} }\n}\n", {("A", "class"), ("A.A", "function"), ("A.f", "method"), ("A.h", "method"), ("A.run", "method"), ("A.k", "method"), ("A.C", "class"), ("A.C.C", "function"), ("A.C.z", "method")}),
+    "A.cs": ("namespace N {\n  [Serializable] public class A : B {\n    public A(int x) : base(x) { }\n    int F(int a) => a + 1;\n    [Obsolete(\"x\")] T G<T>(T t) where T : class { return t; }\n    void H();\n    public int P { get { return 1; } set { F(value); } }\n  }\n  delegate int D(int x);\n  struct V { int W() { return 1; } }\n}\n", {("A", "class"), ("A.A", "function"), ("A.F", "method"), ("A.G", "method"), ("A.H", "method"), ("D", "type"), ("V", "type"), ("V.W", "method")}),
+    "a.c": ("#define F(x) { x\ntypedef struct s { int a; } s_t;\nstatic int apply(int (*f)(int), struct s *p)\n{\n  if (f(1)) { return 2; }\n  return 1;\n}\nint later(int);\nenum e { A, B };\n", {("s", "type"), ("s_t", "type"), ("apply", "function"), ("e", "type")}),
+    "a.go": ("package a\n\ntype (\n\tA struct{ x int }\n\tB interface{ M() }\n\tC int\n)\nfunc G[T any](x T, f func(int) error) (struct{}, error) {\n\treturn struct{}{}, nil\n}\nfunc (a *A) M() {}\n", {("A", "class"), ("B", "interface"), ("C", "type"), ("G", "function"), ("M", "method")}),
+    "a.rs": ("#[derive(Debug)]\npub struct P<'a> { x: &'a str }\nimpl<'a> Tr for P<'a> {\n    #[inline]\n    fn get(&self, c: char) -> bool { c == '{' }\n}\ntrait Tr { fn get(&self, c: char) -> bool; fn d(&self) {} }\n", {("P", "type"), ("P<'a>", "class"), ("P<'a>::get", "function"), ("Tr", "interface"), ("Tr::d", "function")}),
+    "a.cpp": ("namespace n {\nclass A : public B {\n public:\n  A(int x) : x_(x) { }\n  int f() const override { return 1; }\n};\n}\nint n::A::g(int x) {\n  return x;\n}\n", {("n", "class"), ("n::A", "class"), ("n::A::A", "function"), ("n::A::f", "function"), ("n::A::g", "function")}),
+}
+
+
+@pytest.mark.parametrize("path", DECLARED)
+def test_declarations(path):
+    content, expected = DECLARED[path]
+    rows, errors = parse.symbols_of(path, content, {"js": "javascript", "ts": "typescript", "java": "java", "cs": "csharp", "c": "c", "go": "go", "rs": "rust", "cpp": "cpp"}[path.split(".")[1]])
+    assert {(r["qualified_name"], r["kind"]) for r in rows} == expected and errors == 0
+    for r in rows:
+        piece = content.encode()[r["byte_offset"] : r["byte_offset"] + r["byte_length"]].decode()
+        assert r["name"].split("::")[-1] in piece and content.count("\n", 0, content.find(piece)) + 1 == r["line"]
+
+
+def test_decorators_and_status(spark):
+    rows = {r["name"]: r for r in parse.symbols_of("a.ts", DECLARED["a.ts"][0], "typescript")[0]}
+    assert rows["S"]["decorators"] == ["@Injectable()"] and rows["get"]["decorators"] == ["@traced({ a: [1] })"]
+    assert {r["name"]: r["decorators"] for r in parse.symbols_of("a.rs", DECLARED["a.rs"][0], "rust")[0]}["get"] == ["#[inline]"]
+    assert parse.symbols_of("a.cs", DECLARED["A.cs"][0], "csharp")[0][0]["decorators"] == ["[Serializable]"]
+    assert parse.symbols_of("m.py", "@dec(1)\ndef g():\n    pass\n", "python")[0][0]["decorators"] == ["@dec(1)"]
+    files = file_rows(spark, [("r", "ok.go", "package a\n"), ("r", "bad.go", "package a\nfunc F() {\n<<<<<<< HEAD\n"), ("r", "none.md", "x"), ("r", "null.go", None)])
+    assert {r["file"]: r["parse_status"] for r in parse.parse_status(files).collect()} == {"ok.go": "ok", "bad.go": "errors", "none.md": "unread", "null.go": "unread"}
+    # a header that only reads well as C++
+    assert {r["name"] for r in parse.symbols_of("a.h", "struct a { int x; };\n", "c")[0]} == {"a"}
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript", "go", "rust", "java", "csharp", "c", "cpp", "php", "dart", "swift", "python"])
+def test_no_text_takes_more_than_linear_time(language):
+    import time
+
+    texts = ["*" * 10_000 + "x", "1" * 10_000 + "n,", "(" * 10_000 + ")" * 10_000, "class " * 10_000, "struct a " * 10_000, "+".join(["f(1)"] * 10_000), '"\\' * 10_000, "const a = (" * 5000, "{" * 10_000, "public " * 20_000 + "f(", "fn f " * 5000, "`${" * 5000]
+    began = time.perf_counter()
+    for content in texts:
+        parse.symbols_of("a.x", content, language)
+    assert time.perf_counter() - began < 12
+
+
+def test_store_keeps_the_old_index_when_a_commit_dies(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "store"))
+    rows = lambda *x: spark.createDataFrame([("o/n", p, "python", c) for p, c in x], "repo string, path string, language string, content string")
+    engine.index_files("o/n", rows(("a.py", "def f(): pass\n"), ("b.py", "def g(): pass\n")))
+    before = {(r["id"], r["content_hash"]) for r in engine.store.read("symbols").collect()}
+    monkeypatch.setattr(engine.store, "_mark", lambda commit: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        engine.index_files("o/n", rows(("a.py", "def h(): pass\n")))
+    monkeypatch.undo()
+    assert {(r["id"], r["content_hash"]) for r in engine.store.read("symbols").collect()} == before and engine.store.read("files").count() == 2
+    done = engine.index_files("o/n", rows(("a.py", "def h(): pass\n")))
+    assert done["changes"] == {"changed": 1, "deleted": 1} and done["languages"] == {"python": 1}
+    assert {r["name"] for r in engine.store.read("symbols", "o/n").collect()} == {"h"}
+    assert engine.store.vacuum() >= 2 and engine.store.read("symbols").count() == 1
+    where = str(tmp_path / "snapshots")
+    assert engine.store.persist("o/n", where).endswith("o-n")
+    engine.store.delete("o/n")
+    assert engine.store.read("symbols").count() == 0 and not engine.store.ready("o/n")
+    engine.store.restore("o/n", where)
+    assert {r["name"] for r in engine.store.read("symbols").collect()} == {"h"}
+
+
+def test_stream_takes_the_later_row_and_deletes(spark, tmp_path):
+    from symbolith.streaming import watch
+
+    schema = "repo string, path string, content string, at timestamp, deleted boolean"
+    t = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    engine = Engine(spark, str(tmp_path / "store"))
+    first = [("o/n", "a.py", "def zzz(): pass\n" * 3, t(1), False), ("o/n", "a.py", "def f(): pass\n", t(2), False), ("o/n", "b.py", "def g(): pass\n", t(1), None), ("o/m", "c.py", "def c(): pass\n", t(1), False), ("o/n", "node_modules/x.py", "def no(): pass\n", t(1), False), ("o/n", "n.md", "x", t(1), False), (None, "q.py", "x", t(1), False)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: watch.watch_files(engine, None, str(tmp_path / "in"), str(tmp_path / "check"), schema).awaitTermination(120)
+    run()
+    names = lambda: {(r["repo"], r["name"]) for r in engine.store.read("symbols").collect()}
+    assert names() == {("o/n", "f"), ("o/n", "g"), ("o/m", "c")}
+    spark.createDataFrame([("o/n", "b.py", None, t(3), True), ("o/n", "a.py", "def f(): return 1\n", t(3), False)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert names() == {("o/n", "f"), ("o/m", "c")} and engine.store.read("files", "o/n").count() == 1
+    run()
+    assert names() == {("o/n", "f"), ("o/m", "c")}
+
+
+def test_hosted_repository_and_tools(spark, tmp_path):
+    import base64
+    import json
+
+    from symbolith.tools import Tools
+
+    tree = [("src/a.py", "blob"), ("b.py", "blob"), ("vendor/c.py", "blob"), ("docs", "tree"), ("empty.py", "blob"), ("lost.py", "blob")]
+    pages = spark.createDataFrame([("o/n", json.dumps({"truncated": False, "tree": [{"path": p, "sha": "s", "size": 10, "url": "u", "type": k} for p, k in tree]})), ("o/n", "no json"), ("x/y", None)], "repo string, value string")
+    body = lambda text_: json.dumps({"path": "p", "encoding": "base64", "content": base64.encodebytes(text_.encode()).decode()})
+    responses = spark.createDataFrame([("o/n", "src/a.py", body("class A:\n    def m(self):\n        return 1\n\n    def n(self):\n        return 2\n")), ("o/n", "b.py", body("def m(): pass\n")), ("o/n", "empty.py", body("")), ("o/n", "lost.py", '{"message": "gone"}')], "repo string, path string, value string")
+    tools = Tools(Engine(spark, str(tmp_path / "store")))
+    done = tools.index_repo("https://github.com/o/n.git", pages, responses)
+    assert done["file_count"] == 2 and done["symbol_count"] == 4 and done["languages"] == {"python": 2} and done["repo"] == "o/n"
+    found = tools.search_symbols("n", "m", limit=1)
+    assert found["count"] == 1 and found["truncated"] and found["total_indexed"] == 4 and found["results"][0]["name"] == "m"
+    nested = tools.get_file_outline("n", "src/a.py")
+    assert nested["symbol_count"] == 3 and [(x["name"], [c["name"] for c in x["children"]]) for x in nested["symbols"]] == [("A", ["m", "n"])]
+    text_ = tools.search_text("n", "return", limit=1)
+    assert text_["truncated"] and text_["files_searched"] == 1 and list(text_["matches"]) == ["src/a.py"]
+    assert tools.search_text("n", "return")["files_searched"] == 2
+    batch = tools.get_symbols("n", ["b.py::m#function", "nope", "b.py::m#function"])
+    assert batch["symbol_count"] == 2 and [e["id"] for e in batch["errors"]] == ["nope"] and batch["raw_bytes"] == len("def m(): pass\n")
+    assert tools.get_symbol("n", "b.py::m#function", verify=True)["content_verified"]
+    whole = tools.get_repo_outline("n")
+    assert whole["languages"] == {"python": 4} and whole["top_directories"] == [{"dir": ".", "file_count": 1}, {"dir": "src", "file_count": 1}]
+    assert [r["path"] for r in tools.get_file_tree("n")["tree"].collect()] == ["src", "src/a.py", "b.py"]
+    assert tools.invalidate_cache("n")["success"] and tools.list_repos().count() == 0
+    with pytest.raises(ValueError):
+        tools.index_repo("nothing", pages, responses)
+
+
+def test_links_limits_and_excludes(spark, tmp_path):
+    root, out = tmp_path / "proj", tmp_path / "outside"
+    root.mkdir()
+    out.mkdir()
+    (root / "a.py").write_text("def f(): pass\n")
+    (out / "s.py").write_text("def secret(): pass\n")
+    (root / "inside.py").symlink_to(root / "a.py")
+    (root / "leak.py").symlink_to(out / "s.py")
+    links = {r["path"]: r["is_symlink"] for r in folders.folder_files(spark, str(root), "o/n").collect()}
+    assert links == {"a.py": False, "inside.py": True, "leak.py": True}
+    followed = {r["path"]: r["is_symlink"] for r in folders.folder_files(spark, str(root), "o/n", True).collect()}
+    assert followed == {"a.py": False, "inside.py": False, "leak.py": True}
+    assert folders.limits(spark) == (500, 512_000)
+    spark.conf.set("spark.symbolith.max.files", "many")
+    with pytest.raises(ValueError):
+        folders.limits(spark)
+    spark.conf.unset("spark.symbolith.max.files")
+    (tmp_path / "exclude").write_text("# mine\nscratch\n\n  old  # note\nscratch\n")
+    assert {"scratch", "old", "node_modules"} <= set(folders.watch_excludes(spark, str(tmp_path / "exclude")))
+
+
+def test_forest_by_contraction_beyond_the_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([("r", "f", str(i), str(i // 2) if i else None, i) for i in range(30)] + [("r", "g", "x", "y", 1), ("r", "g", "y", "x", 2), ("r", None, "q", None, 1)], "repo string, file string, id string, parent string, symbol_seq long")
+    whole = {(r["id"], r["root"], r["depth"]) for r in outline.file_forest(rows).collect()}
+    monkeypatch.setattr(outline, "TOGETHER", 5)
+    assert {(r["id"], r["root"], r["depth"]) for r in outline.file_forest(rows).collect()} == whole and len(whole) == 30
