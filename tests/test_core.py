@@ -148,7 +148,7 @@ def test_parsing_by_language(spark):
         assert {(r["qualified_name"], r["kind"]) for r in own} == expected, path
         for r in own:
             piece = content.encode()[r["byte_offset"] : r["byte_offset"] + r["byte_length"]].decode()
-            assert r["name"] in piece and content.split("\n")[r["line"] - 1].strip()[:3] in piece
+            assert r["name"] in piece and piece.split("\n")[0] in content.split("\n")[r["line"] - 1]
     assert not [r for r in rows if r["file"] in ("bad.py", "empty.go", "null.go")]
     source = retrieve.with_source(parse.parsed(files), files)
     assert source.where("NOT content_verified").count() == 0
@@ -249,14 +249,14 @@ def test_hierarchy_matches_brute_force(spark, shape):
         "empty": {},
     }[shape]
     rows = spark.createDataFrame([("r", i, p, "x", "clash") for i, p in links.items()] + [(None, 1, None, "x", ""), ("r", None, 1, "x", "")], "repo string, id long, parent long, v string, path string")
-    placed = hierarchy.hierarchy(rows, ["repo"], "id", "parent")
+    placed = hierarchy.hierarchy(rows, ["repo"], "id", "parent", count=True)
     got = {}
     for r in placed.collect():
         got[r["id"]] = r["place"] if r["place"] in ("on", "below") else (r["place"], r["depth"], int(r["root"]))
         if r["path"]:
             assert [int(x) for x in r["path"]][-1] == r["id"] and len(r["path"]) == r["depth"] + 1
     assert got == brute_places(links)
-    counted = {r["id"]: r["descendants"] for r in hierarchy.hierarchy(rows, ["repo"], "id", "parent", count=True).collect()}
+    counted = {r["id"]: r["descendants"] for r in placed.collect()}
     pairs = {(int(r["id"]), int(r["descendant"])) for r in hierarchy.descendants(placed, ["repo"], "id").collect()}
     expected = set()
     for node, place in brute_places(links).items():
@@ -287,13 +287,42 @@ def test_snapshot_changes(spark):
     assert snapshots.change_events(snapshots.snapshot_intervals(files.limit(0), symbols.limit(0))).count() == 0
 
 
-def test_registered_queries_run(spark, small):
-    import __spark_entry__ as entry
+def plain(value):
+    if isinstance(value, float):
+        return round(value, 6)
+    return tuple(map(plain, value)) if isinstance(value, list) else value
+
 
-    queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries)
-    for name in ("language_of_file", "search_text", "file_tree", "merge_symbols", "parsed_symbols", "p6_found"):
-        assert queries[name](spark, small).count() >= 0
+def test_registered_queries_equal_their_sql(spark, small):
+    """Every query of the core on the smallest tables, against its SQL where there is one."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from symbolith.plans import catalog
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    sql = catalog.oracles()
+    base = duckdb.connect()
+    base.execute("SET TimeZone='UTC'")
+    from pathlib import Path
+
+    for path in Path(small).glob("*.parquet"):
+        base.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    wrong = []
+    for name, query in catalog.QUERIES.items():
+        found = query(spark, small)
+        columns = sorted(found.columns)
+        rows = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=repr)
+        if name not in sql:
+            assert rows, name
+            continue
+        result = base.execute(sql[name])
+        names = [c[0] for c in result.description]
+        assert sorted(names) == columns, name
+        expected = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
+        if rows != expected:
+            wrong.append(name)
+    assert not wrong
 
 
 def test_python_definitions_in_functions_branches_and_broken_files(spark):
